@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from quern.llm import quality
+from quern.llm import quality, secrets
 
-QUERIES = {"op7_quality_rules": quality.query}
+QUERIES = {
+    "op7_quality_rules": quality.query,
+    "op10_secret_scan": secrets.query,
+}
 ORACLE = {"op7_quality_rules": quality.ORACLE}
