@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quern.llm import quality, secrets
+from quern.llm import licenses, quality, secrets
 
 QUERIES = {
+    "op3_license_scan": licenses.query,
     "op7_quality_rules": quality.query,
     "op10_secret_scan": secrets.query,
 }
