@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quern.llm import licenses, quality, secrets
+from quern.llm import decontaminate, licenses, quality, secrets
 
 QUERIES = {
     "op3_license_scan": licenses.query,
+    "op4_decontaminate": decontaminate.query,
     "op7_quality_rules": quality.query,
     "op10_secret_scan": secrets.query,
 }
-ORACLE = {"op7_quality_rules": quality.ORACLE}
+ORACLE = {"op4_decontaminate": decontaminate.ORACLE, "op7_quality_rules": quality.ORACLE}
