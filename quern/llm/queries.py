@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quern.llm import decontaminate, licenses, quality, secrets
+from quern.llm import decontaminate, jaccard, licenses, quality, secrets
 
 QUERIES = {
+    "op2_ngram_jaccard": jaccard.query,
     "op3_license_scan": licenses.query,
     "op4_decontaminate": decontaminate.query,
     "op7_quality_rules": quality.query,
