@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quern.llm import decontaminate, jaccard, licenses, quality, secrets
+from quern.llm import decontaminate, jaccard, licenses, quality, secrets, sstable
 
 QUERIES = {
     "op2_ngram_jaccard": jaccard.query,
     "op3_license_scan": licenses.query,
     "op4_decontaminate": decontaminate.query,
     "op7_quality_rules": quality.query,
+    "op8_token_shards": sstable.query,
     "op10_secret_scan": secrets.query,
 }
 ORACLE = {"op4_decontaminate": decontaminate.ORACLE, "op7_quality_rules": quality.ORACLE}
