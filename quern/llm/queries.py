@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import decontaminate, jaccard, licenses, quality, secrets, sstable
+from quern.llm import decontaminate, jaccard, licenses, ngramlm, quality, secrets, sstable
 
 QUERIES = {
     "op2_ngram_jaccard": jaccard.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_decontaminate": decontaminate.query,
     "op7_quality_rules": quality.query,
     "op8_token_shards": sstable.query,
+    "op9_ngram_lm": ngramlm.query,
     "op10_secret_scan": secrets.query,
 }
 ORACLE = {"op4_decontaminate": decontaminate.ORACLE, "op7_quality_rules": quality.ORACLE}
