@@ -22,9 +22,12 @@ only their own work.
 from __future__ import annotations
 
 import bisect
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,13 @@ BLOCK_BYTES = 1 << 18
 SHARD_BYTES = 1 << 26
 MAGIC, TAIL = b"QSST1\n", b"QSSTEND\n"
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
+_PLAIN, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_PLAIN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+#: The byte-level alphabet of public tokenizers: printable Latin-1 stands for itself, the other bytes, in order, for U+0100 onwards.
+_SELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LEVEL = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _SELF)}
+_STOP[[ord(c) for c in ".,;:!?"]] = True
 
 
 def filesystem(uri: str):
@@ -55,12 +64,16 @@ def filesystem(uri: str):
 class Encoder:
     """Token ids of whole texts by way of their distinct words.
 
-    The tokenizer folds white space and never joins what it separates, so a
-    text's ids are those of its words one after the other.  Words not met
-    before are encoded together as one text and told apart by offsets.
+    The tokenizer folds case and white space, and never joins what white space
+    separates, so a text's ids are those of its words one after the other.  A
+    space put between an ASCII letter or digit and the ASCII stop after it
+    changes nothing either (the two are never one piece), but leaves fewer
+    distinct words; so does folding A-Z, left out where a special token's
+    brackets occur.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -72,29 +85,47 @@ class Encoder:
         self.flat = np.zeros(0, np.uint32)
 
     def learn(self, new: list[bytes]):
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            texts = [w.decode("utf-8", "replace") for w in part]
-            begins = np.cumsum([0] + [len(t) + 1 for t in texts])
-            e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            at = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.offsets))
-            size = np.bincount(np.searchsorted(begins, at, "right") - 1, minlength=len(part)).astype(np.int64)
-            self.number.update(zip(part, range(len(self.number), len(self.number) + len(part)), strict=True))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, np.array(e.ids, np.uint32)])
+        """Ids of new words.  A lower-case Latin word in composed form is one piece as it stands: the library's model alone encodes it."""
+        model, found, others = self.tokenizer.model, [], []
+        for i, w in enumerate(new):
+            if w.isalpha() and w.islower():
+                found.append([t.id for t in model.tokenize(w.decode())])
+                continue
+            text = w.decode("utf-8", "replace")
+            if text.isalpha() and max(text) < "\u0250" and text == text.lower() and is_normalized("NFC", text):
+                found.append([t.id for t in model.tokenize(w.decode("latin-1").translate(_BYTE_LEVEL))])
+            else:
+                others.append(i)
+                found.append(text)
+        for i, e in zip(others, self.tokenizer.encode_batch_fast([found[i] for i in others], add_special_tokens=False), strict=True):
+            found[i] = e.ids
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each document) of a chunk."""
+        stops = np.flatnonzero(_PLAIN[data[:-1]] & _STOP[data[1:]]) + 1
+        off = off + np.searchsorted(stops, off)
+        data = np.insert(data, stops, 32)
+        raw = data.tobytes()
+        if b"<|" not in raw:
+            raw = raw.lower()
         words: list[bytes] = []
         first = [0]
         for d in range(len(off) - 1):
-            words += data[off[d] : off[d + 1]].tobytes().split()
+            words += raw[off[d] : off[d + 1]].split()
             first.append(len(words))
         if len(self.number) > CACHE_WORDS:
             self.clear()
-        self.learn(sorted(set(words).difference(self.number)))
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [words[i] for i in missing]
+            self.learn(list(dict.fromkeys(new)))
+            at[missing] = np.fromiter(map(self.number.__getitem__, new), np.int64, len(new))
         size = self.size[at]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.repeat(self.start[at] - total[:-1], size) + np.arange(total[-1])]
