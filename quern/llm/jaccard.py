@@ -6,10 +6,14 @@ row), columns are n-grams.  The whole product is never made:
 1.  One pass gives each document its set's size and 64-bit key, and counts
     n-grams in a sketch of fixed size.  The sketch only fixes an order of the
     columns, rare ones first; a poor order costs time, never a link.
-2.  Sets of n that reach the threshold t share an n-gram among the first
-    n - ceil(t n) + 1 of that order (the size-derived bound).  Those entries
-    are the sub-matrix that is shuffled by column.  Rows that meet in a column
-    and whose sizes are within t of each other are joined to families.
+2.  Sets of n that reach the threshold t share m n-grams among the first
+    n - ceil(t n) + m of that order, whatever m; here m is 1 + n // 16 (of the
+    smaller set).  Those entries are the sub-matrix that is shuffled by
+    column.  In columns of up to SHORT rows every pair of sizes within t of
+    each other adds to its overlap count, and pairs that stay below m are
+    discarded.  In longer columns rows are only chained, by size, so a pair
+    that meets in one is never lost and never expanded.  What remains joins
+    rows to families.
 3.  Families are cut into blocks by size class and hash.  Only block pairs of
     the same or neighbouring size classes can hold links; each such pair is
     one product, accumulated over column chunks, whose entries below the bound
@@ -30,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import graph
@@ -45,6 +49,13 @@ BLOCK_DOCS = 1024
 BLOCK_GRAMS = 1_000_000
 CLASS_BASE = 1.34  # above 100 / PERCENT, so that linked sizes are at most one class apart
 COLUMNS = 4096
+SHORT = 32
+SURE = 1 << 40  # the count of a chained pair
+
+
+def shared_at_least(size):
+    """Prefix entries that linked sets share, the smaller of this size (a number or a column)."""
+    return 1 + (F.floor(size / 16) if isinstance(size, Column) else size // 16)
 
 
 def _sets(data: np.ndarray, off: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -147,7 +158,7 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc
                     if not len(s) or (key := _key(s)) in done:
                         continue
                     done.add(key)
-                    p = len(s) - -(-percent * len(s) // 100) + 1
+                    p = len(s) - -(-percent * len(s) // 100) + shared_at_least(len(s))
                     rank = order.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                     grams.append(s[np.argsort(rank, kind="stable")[:p]])
                     keys.append(key)
@@ -157,24 +168,72 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each))], ["gram", "key", "size"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Neighbours in a column, by size: edges of the family graph."""
-        last = None
-
-        def edges():
-            nonlocal last
-            for batch in batches:
-                g, k, s = (batch.column(i).to_numpy() for i in range(3))
-                if last is not None:
-                    g, k, s = (np.concatenate([[x], y]) for x, y in zip(last, (g, k, s), strict=True))
-                last = (g[-1], k[-1], s[-1])
-                near = (g[1:] == g[:-1]) & (k[1:] != k[:-1]) & (100 * s[:-1].astype(np.int64) >= percent * s[1:].astype(np.int64))
-                at = np.flatnonzero(near)
-                yield pa.RecordBatch.from_arrays([pa.array(k[at + 1].astype(np.int64)), pa.array(k[at].astype(np.int64))], ["u", "v"])
-
-        yield from graph.contract(edges())
+        """Overlap counts of the pairs that meet in a task's columns (u, v, count, smaller size)."""
+        held: list[tuple[np.ndarray, ...]] = []
+        n_held = 0
+        rest = tuple(np.zeros(0, np.int64) for _ in range(3))
+        long_gram = None
+
+        def add(u, v, count, size):
+            nonlocal n_held
+            if len(u):
+                held.append((np.maximum(u, v), np.minimum(u, v), np.full(len(u), count, np.int64), size))
+                n_held += len(u)
+
+        def out():
+            u, v, count, size = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((v, u))
+            u, v, count, size = u[order], v[order], count[order], size[order]
+            first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (u[first], v[first], np.minimum(np.add.reduceat(count, first), SURE), size[first])], ["u", "v", "n", "size"])
+
+        def near(s, i, j):
+            return 100 * s[i] >= percent * s[j]
+
+        def columns(g, k, s, last: bool):
+            """Handles whole columns; returns the rows of the last one unless it is whole too."""
+            nonlocal long_gram
+            new = np.concatenate([[True], (g[1:] != g[:-1]) | (k[1:] != k[:-1])])
+            g, k, s = g[new], k[new], s[new]
+            begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            each = np.diff(np.append(begin, len(g)))
+            longer = (each > SHORT) | (g[begin] == long_gram if long_gram is not None else np.zeros(len(begin), bool))
+            tail = (g[:0], k[:0], s[:0])
+            if not last:
+                tail = (g[-1:], k[-1:], s[-1:]) if longer[-1] else (g[begin[-1] :], k[begin[-1] :], s[begin[-1] :])
+                long_gram = g[-1] if longer[-1] else None
+                if not longer[-1]:
+                    begin, each, longer = begin[:-1], each[:-1], longer[:-1]
+            row_longer = np.repeat(longer, each)
+            m = len(row_longer)
+            at = np.flatnonzero(row_longer[: max(0, m - 1)] & (g[: max(0, m - 1)] == g[1:m]))
+            at = at[near(s, at, at + 1)]
+            add(k[at], k[at + 1], SURE, s[at])
+            at = np.flatnonzero(~row_longer)
+            for j in range(1, SHORT):
+                at = at[at + j < m]
+                at = at[g[at] == g[at + j]]
+                if not len(at):
+                    break
+                close = at[near(s, at, at + j)]
+                add(k[close], k[close + j], 1, s[close])
+            return tail
+
+        for batch in batches:
+            now = tuple(np.concatenate([x, batch.column(i).to_numpy().astype(np.int64)]) for i, x in enumerate(rest))
+            if len(now[0]):
+                rest = columns(*now, False)
+            if n_held > 1_000_000:
+                yield out()
+                held, n_held = [], 0
+        if len(rest[0]):
+            columns(*rest, True)
+        if held:
+            yield out()
 
     entries = docs.select(F.col(text_col).alias("text")).mapInArrow(prefixes, "gram bigint, key bigint, size int")
-    pairs = entries.repartition("gram").sortWithinPartitions("gram", "size", "key").mapInArrow(met, "u bigint, v bigint")
+    pairs = entries.repartition("gram").sortWithinPartitions("gram", "size", "key").mapInArrow(met, "u bigint, v bigint, n bigint, size bigint")
+    pairs = pairs.groupBy("u", "v").agg(F.sum("n").alias("n"), F.min("size").alias("size")).where(F.col("n") >= shared_at_least(F.col("size"))).select("u", "v")
     family = tk.cut(graph.components(pairs, "jaccard-families"), "jaccard-family")
 
     # blocks: a family that is small is one; else by size class and hash
