@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quern.llm import decontaminate, jaccard, licenses, ngramlm, quality, secrets, sstable
+from quern.llm import decontaminate, jaccard, licenses, ngramlm, pii, quality, secrets, sstable
 
 QUERIES = {
     "op2_ngram_jaccard": jaccard.query,
     "op3_license_scan": licenses.query,
     "op4_decontaminate": decontaminate.query,
+    "op6_pii": pii.query,
     "op7_quality_rules": quality.query,
     "op8_token_shards": sstable.query,
     "op9_ngram_lm": ngramlm.query,
