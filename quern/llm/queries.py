@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quern.llm import decontaminate, jaccard, licenses, ngramlm, pii, quality, secrets, sstable
+from quern.llm import decontaminate, jaccard, licenses, ngramlm, pii, quality, secrets, sstable, wrapper
 
 QUERIES = {
+    "op1_html_extraction": wrapper.query,
     "op2_ngram_jaccard": jaccard.query,
     "op3_license_scan": licenses.query,
     "op4_decontaminate": decontaminate.query,
