@@ -1,15 +1,56 @@
-"""A training-data pipeline of the operators in quern.llm (counted as part of that subpackage)."""
+"""A training-data pipeline of the operators in quern.llm (counted as part of that subpackage).
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-from quern.llm import quality
+from pyspark.sql import DataFrame, SparkSession
+
+from quern.llm import decontaminate, jaccard, mixing, quality, sstable
+from quern.llm import textkernel as tk
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the policy rejects go."""
+    return quality.filter_documents(docs, "v1")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents stays, that of the smallest id."""
+    return jaccard.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.remove_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stay by the rates that bring the domains to their target weights; clean documents have rates near one."""
+    return mixing.apply_rates(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in sorted shards; a row for each document, read back from them."""
+    return sstable.encode_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing to target weights", mixture),
+    ("token-ID output", token_shards),
+]
 
-STAGES = [("quality rules", lambda spark, docs, sf_dir: quality.filter_documents(docs, "v1"))]
+#: The classifier and the tokenizer have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = tk.cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quern.llm import decontaminate, jaccard, licenses, ngramlm, pii, quality, secrets, sstable, wrapper
+from quern.llm import decontaminate, jaccard, licenses, mixing, ngramlm, pii, quality, secrets, sstable, wrapper
 
 QUERIES = {
     "op1_html_extraction": wrapper.query,
     "op2_ngram_jaccard": jaccard.query,
     "op3_license_scan": licenses.query,
     "op4_decontaminate": decontaminate.query,
+    "op5_mixing": mixing.query,
     "op6_pii": pii.query,
     "op7_quality_rules": quality.query,
     "op8_token_shards": sstable.query,
