@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Patterns and word lists that must equal those of the service whose results are matched.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
@@ -131,7 +133,7 @@ def ends_sentence(line: Column) -> Column:
 
 def snippet(text: Column, n: int) -> Column:
     s = collapse(text)
-    return F.when(F.length(s) <= n, s).otherwise(F.concat(F.rtrim(F.substring(s, 1, n - 3)), F.lit("...")))
+    return F.when(F.length(s) <= n, s).otherwise(F.concat(F.substring(s, 1, n - 3), F.lit("...")))
 
 
 def count_of(text: Column, mark: str) -> Column:
@@ -144,12 +146,18 @@ def safe_name(text: Column) -> Column:
     return F.when(F.coalesce(name, F.lit("")) == "", F.lit("sample")).otherwise(name)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _ascii(text: pd.Series) -> pd.Series:
     """NFKD without what is not ASCII (no Spark builtin decomposes)."""
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode())
 
 
+@F.pandas_udf(StringType())
+def _token(text: pd.Series) -> pd.Series:
+    """Eight hex digits of a blake2b hash (no Spark builtin has it)."""
+    return text.map(lambda s: None if s is None else hashlib.blake2b(s.encode(), digest_size=4).hexdigest())
+
+
 def slug(text: Column) -> Column:
     s = F.lower(F.regexp_replace(F.regexp_replace(_ascii(text), r"[^a-zA-Z0-9]+", "-"), r"^-+|-+$", ""))
     return F.when(F.coalesce(s, F.lit("")) == "", F.lit("book")).otherwise(s)
@@ -157,9 +165,9 @@ def slug(text: Column) -> Column:
 
 def file_name(path: Column) -> Column:
     """A safe .pdf name from an uploaded path; a hash where nothing is left."""
-    base = F.regexp_extract(path, r"([^/\\]*)$", 1)
+    base = F.regexp_extract(path, r"([^/]*)/*$", 1)
     name = F.regexp_replace(F.regexp_replace(base, r"[^a-zA-Z0-9._-]+", "_"), r"^[._]+|[._]+$", "")
-    name = F.when(name == "", F.concat(F.lit("upload_"), F.substring(F.sha2(path, 256), 1, 16))).otherwise(name)
+    name = F.when(name == "", F.concat(F.lit("book_"), _token(base), F.lit(".pdf"))).otherwise(name)
     return F.when(F.lower(name).endswith(".pdf"), name).otherwise(F.concat(name, F.lit(".pdf")))
 
 
