@@ -362,10 +362,10 @@ def score_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imaging.quantiles(table(spark, sf_dir, "events"), "event_type", "value")
 
 
-@query("""with h as (select p_brand, (p_retailprice::int % 256) as bin, count(*)::double as n from part group by all),
+@query("""with h as (select p_brand, (floor(p_retailprice)::int % 256) as bin, count(*)::double as n from part group by all),
 c as (select p_brand, bin, sum(n) over r as w, sum(n * bin) over r as m, sum(n) over a as tw, sum(n * bin) over a as tm from h window r as (partition by p_brand order by bin), a as (partition by p_brand)),
 s as (select p_brand, bin, case when tw - w > 0 then w * (tw - w) * power(m / w - (tm - m) / (tw - w), 2) else 0 end as s from c)
 select p_brand, bin::int as threshold from (select *, row_number() over (partition by p_brand order by round(s, 6) desc, bin) as k from s) where k = 1""")
 def otsu_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select("p_brand", F.pmod(F.round("p_retailprice").cast("int"), F.lit(256)).alias("bin"))
+    p = table(spark, sf_dir, "part").select("p_brand", F.pmod(F.floor("p_retailprice").cast("int"), F.lit(256)).alias("bin"))
     return imaging.otsu_table(p, "p_brand", "bin")
