@@ -26,7 +26,7 @@ def labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return nodes, nodes[label]
 
 
-def contract(batches: Iterator[pa.RecordBatch], hold: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def contract(batches: Iterator[pa.RecordBatch], hold: int = 400_000) -> Iterator[pa.RecordBatch]:
     """A task's edges (u, v) as stars with the same components; at most ``hold`` edges are held besides a batch."""
     u = v = np.zeros(0, np.int64)
 

@@ -224,7 +224,7 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc
             now = tuple(np.concatenate([x, batch.column(i).to_numpy().astype(np.int64)]) for i, x in enumerate(rest))
             if len(now[0]):
                 rest = columns(*now, False)
-            if n_held > 1_000_000:
+            if n_held > 500_000:
                 yield out()
                 held, n_held = [], 0
         if len(rest[0]):

@@ -8,6 +8,7 @@ corpus share a hash with probability about n**2 / 2**65.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -15,8 +16,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another libc: memory stays with the worker
+    _LIBC = None
+
 _U = np.uint64
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 #: Bytes that separate words in the two word definitions in use.
 WHITE = np.zeros(256, bool)
@@ -41,7 +48,7 @@ _inv = np.ones(1, np.uint64)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _inv
     if len(_pow) < n:
-        m = max(n, 2 * len(_pow), CHUNK_BYTES)
+        m = max(n, CHUNK_BYTES + 1)
         a, b = np.full(m, _P), np.full(m, _P_INV)
         a[0] = b[0] = _U(1)
         _pow, _inv = np.multiply.accumulate(a), np.multiply.accumulate(b)
@@ -62,7 +69,8 @@ def plain(column: pa.Array) -> pa.Array:
     """The column without nulls (null text counts as empty)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    column = column.cast(pa.large_string())
+    return pc.fill_null(column, "") if column.null_count else column
 
 
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -80,6 +88,14 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         hi = min(hi, n)
         yield lo, hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that numpy and Arrow have freed back to the system (workers live on between tasks)."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def spans(member: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
