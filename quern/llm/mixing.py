@@ -35,6 +35,7 @@ from quern.llm import textkernel as tk
 
 SAMPLE = 4000  # labelled rows for the fit, those of the smallest hashed ids
 SELECTED = 1024  # words
+CHI_SQUARED = 15.0  # what a word must tell at least
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
 ANCHOR = "clean"
@@ -124,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     each = np.stack([np.bincount(column[y[row] == d], minlength=len(hashes)) for d in range(k)], 1)
     expected = df[:, None] * share[None]
     score = np.where(df >= 3, ((each - expected) ** 2 / np.maximum(expected, 1e-9)).sum(1), 0)
-    best = np.sort(np.argsort(-score, kind="stable")[: min(SELECTED, int((score > 0).sum()))])
+    best = np.sort(np.argsort(-score, kind="stable")[: min(SELECTED, int((score > CHI_SQUARED).sum()))])
     place = np.full(len(hashes), -1)
     place[best] = np.arange(len(best))
     kept = place[column] >= 0
