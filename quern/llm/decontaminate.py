@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import textkernel as tk
+
 N_WORDS = 10
 BROADCAST_ROWS = 2_000_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -79,7 +81,7 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, **columns: s
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
     """The documents without any hit, columns unchanged."""
-    bad = report(docs, benchmark, n, id_col=id_col, text_col=text_col, **columns).where("contaminated").select(F.col("id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash")).distinct()
+    bad = tk.small(tk.cut(report(docs, benchmark, n, id_col=id_col, text_col=text_col, **columns).where("contaminated").select(F.col("id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash")).distinct(), "contaminated"))
     return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad_id"]) & (F.xxhash64(docs[text_col]) == bad["__bad_hash"]), "left_anti")
 
 

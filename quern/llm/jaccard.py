@@ -306,7 +306,7 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each component: that of the smallest id (of rows that repeat it, the first by text hash; equal rows are all but one dropped).  Documents without a set all stay."""
     found = join(docs, id_col=id_col, text_col=text_col, **options)
-    gone = tk.cut(found.where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "jaccard-gone")
+    gone = tk.small(tk.cut(found.where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "jaccard-gone"))
     return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__hash"]), "left_anti")
 
 

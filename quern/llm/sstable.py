@@ -340,7 +340,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id",
                         writer = ShardWriter(system.open_output_stream(names[0]))
                     writer.add(identifiers[at], np.append(ids[total[d] : total[d + 1]], np.uint32(end_id)))
                     at += 1
-                    if writer.at >= shard_bytes:
+                    if writer.at + writer.held >= shard_bytes:
                         close()
         if writer is not None:
             close()

@@ -188,3 +188,13 @@ def cut(df, purpose: str):
     path = shared_folder(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df, rows: int = BROADCAST_ROWS):
+    """The (narrow, written) table marked for broadcast if it has at most so many rows; else Spark joins it as it finds best."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= rows else df
