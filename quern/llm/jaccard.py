@@ -254,13 +254,14 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc
     above = F.transform(upto(up(1)), lambda j: pair(cls, own, cls + 1, j, F.lit(0)))
     below = F.transform(upto(up(-1)), lambda j: pair(cls - 1, j, cls, own, F.lit(1)))
     where = F.when(F.col("salts").isNull(), F.array(pair(F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(0)))).otherwise(F.concat(within, above, below))
-    placed = placed.select(F.col("id").alias("m_id"), F.col("text_hash").alias("m_hash"), "key", "fam", where.alias("pairs"))
+    placed = tk.cut(placed.select(F.col("id").alias("m_id"), F.col("text_hash").alias("m_hash"), "key", "fam", where.alias("pairs")), "jaccard-placed")
+    few = (placed.agg(F.sum(F.size("pairs"))).first()[0] or 0) <= tk.BROADCAST_ROWS
     texts = docs.select(F.col(id_col).cast("long").alias("d_id"), F.xxhash64(text_col).alias("d_hash"), F.col(text_col).alias("text"))
     # a bit set of fixed size, broadcast, keeps most other texts out of the shuffle; it may let some through, never the reverse
     slot = lambda h: F.pmod(h, F.lit(1 << FILTER_BITS))
     marks = placed.groupBy(F.floor(slot(F.col("m_hash")) / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(m_hash, 64) as int))")).alias("mask"))
     texts = texts.withColumn("word", F.floor(slot(F.col("d_hash")) / 64)).join(F.broadcast(marks), "word").where(F.col("mask").bitwiseAND(F.expr("shiftleft(1L, cast(pmod(d_hash, 64) as int))")) != 0).drop("word", "mask")
-    found = texts.join(placed, F.col("d_id").eqNullSafe(F.col("m_id")) & (F.col("d_hash") == F.col("m_hash"))).select("key", "fam", F.explode("pairs").alias("p"), "text")
+    found = texts.join(F.broadcast(placed) if few else placed, F.col("d_id").eqNullSafe(F.col("m_id")) & (F.col("d_hash") == F.col("m_hash"))).select("key", "fam", F.explode("pairs").alias("p"), "text")
     flat = found.select(F.xxhash64("fam", "p.a", "p.i", "p.b", "p.j").alias("pair"), (F.struct("p.a", "p.i") == F.struct("p.b", "p.j")).alias("self"), "p.side", "key", "text")
 
     def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
