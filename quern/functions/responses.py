@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.functions.chunks import let, split_text
+from quern.functions.chunks import covers, let, semantic_chunks, source_windows, split_text
 
 # Keys and patterns of the answers that are understood.
 LIST_KEYS = ["chunks", "segments", "items", "data"]
@@ -61,3 +61,44 @@ def message(raw: Column, joiner: str = "\n") -> Column:
     kind = F.schema_of_variant(content)
     parts = F.filter(F.transform(F.try_variant_get(content, "$", "array<variant>"), lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.when(F.schema_of_variant(p) == "STRING", F.try_variant_get(p, "$", "string")))), lambda s: s.isNotNull() & (s != ""))
     return F.trim(F.when(kind == "STRING", F.try_variant_get(content, "$", "string")).when(kind.startswith("ARRAY"), F.array_join(parts, joiner)).otherwise(F.lit("")))
+
+
+# -- segmentation by a model, with the rule-based split to fall back on ---------------------------------------
+
+WINDOW = 8000
+SLACK = 1.2  # texts a little over the limit are not worth a call
+
+
+def segment_prompt(text: Column, title: Column, size: int) -> Column:
+    return F.concat(F.lit(f"Split the text into passages of at most {size} characters at changes of topic. Quote it exactly; leave nothing out. Answer with a JSON object with a list under \"chunks\".\nTitle: "), title, F.lit("\nText:\n"), text)
+
+
+def repair_prompt(text: Column, answer: Column, size: int) -> Column:
+    return F.concat(F.lit(f"The answer below is not a list of exact quotations of at most {size} characters that cover the text. Mend it; answer with a JSON list only.\nAnswer:\n"), answer, F.lit("\nText:\n"), text)
+
+
+def accepted(text: Column, raw: Column, size: int, overlap: int) -> Column:
+    """An answer's chunks if they quote and cover the text, bounded; else null."""
+    found = segments(F.coalesce(raw, F.lit("")))
+    return let(found, lambda c: F.when((F.size(c) > 0) & ~is_placeholder(c) & covers(text, c, overlap), bounded_chunks(c, size, overlap)))
+
+
+def model_chunks(text: Column, title: Column, ask: list, size: int = 1200, overlap: int = 180) -> Column:
+    """Chunks of a text by a model.
+
+    ``ask`` is a list of functions (prompt column -> answer column), tried in
+    turn; the last is given its predecessor's answer to mend.  Short texts are
+    one chunk, texts a little longer are split by rules, and so is every window
+    whose answers are all refused.  Windows are asked one by one.
+    """
+
+    def window(w: Column) -> Column:
+        tries, before = [], None
+        for i, f in enumerate(ask):
+            prompt = segment_prompt(w, title, size) if before is None or i < len(ask) - 1 else repair_prompt(w, F.coalesce(before, F.lit("")), size)
+            before = f(prompt)
+            tries.append(accepted(w, before, size, overlap))
+        return F.coalesce(*tries, semantic_chunks(w, size, overlap))
+
+    clean = T.collapse(text)
+    return F.when(F.length(clean) == 0, F.array().cast("array<string>")).when(F.length(clean) <= size, F.array(clean)).when(F.length(clean) < SLACK * size, semantic_chunks(text, size, overlap)).otherwise(F.flatten(F.transform(source_windows(text, WINDOW), window)))
