@@ -338,3 +338,16 @@ def brute(texts: dict[int, str | None], n: int = N, percent: int = PERCENT) -> d
                 p, q = sorted((find(i), find(j)))
                 root[q] = p
     return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+#: For tables of distinct ids: all pairs that share a shingle, then reachability.
+ORACLE = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, g from (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from w)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+o as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select x, y from o join n p on x = p.doc_id join n q on y = q.doc_id where 100 * c >= 75 * (p.n + q.n - c)),
+e as (select x, y from l union all select y, x from l),
+r as (select doc_id, doc_id as root from documents union select e.y, r.root from r join e on r.doc_id = e.x)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from (select doc_id, min(root) as component_id from r group by doc_id) left join n using (doc_id)
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_ngram_lm": ngramlm.query,
     "op10_secret_scan": secrets.query,
 }
-ORACLE = {"op4_decontaminate": decontaminate.ORACLE, "op7_quality_rules": quality.ORACLE}
+ORACLE = {"op2_ngram_jaccard": jaccard.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op7_quality_rules": quality.ORACLE}
