@@ -221,6 +221,13 @@ def test_wrapper(spark):
         wrapper.BROADCAST_BYTES = joined
 
 
+def test_class_words_do_not_hide_the_article():
+    body = "<p>The article says a good deal more than anything else on this page does.</p>"
+    assert wrapper.extract(f"<body><div class='page has-sidebar'><article>{body}</article><div class=sidebar>x</div></div></body>").startswith("The article")
+    assert wrapper.extract(f"<body><div class='with-ads'>{body}</div><div class=ads>buy</div></body>").startswith("The article")
+    assert wrapper.extract(f"<body><article>{body}<div class='ad'>buy this</div></article></body>").endswith("does.")
+
+
 def test_tree_matching():
     t = lambda x: wrapper._shape(wrapper.parse(x))
     a, b = t("<body><div class=x><p>1</p></div><p>2</p></body>"), t("<body><p>2</p></body>")
