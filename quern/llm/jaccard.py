@@ -146,6 +146,7 @@ def product(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarra
 def join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_grams, component, text_hash): one row per document; component is the smallest id that links reach."""
     spark = docs.sparkSession
+    tk.modest_batches(docs)
     seen = tk.cut(profile(docs, n, id_col, text_col), "jaccard-sets")
     rows = seen.where("part is null").select("id", "text_hash", "n_grams", "key")
     order = spark.sparkContext.broadcast(np.minimum(_added(seen.where("part is not null").select("part", "task", "counts")), 65535).astype(np.uint16))

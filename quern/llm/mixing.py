@@ -98,6 +98,7 @@ def domain_of() -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", domain: Column | None = None, domains: tuple[str, ...] = DOMAINS) -> Classifier:
     """Multinomial logistic regression on word presence and shape, from at most ``sample`` labelled rows."""
+    tk.modest_batches(docs)
     chosen = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), (domain_of() if domain is None else domain).alias("domain")).orderBy(F.xxhash64("__id"), "domain").limit(sample)
     given = docs.join(F.broadcast(chosen), docs[id_col] == F.col("__id")).select("__id", "domain", docs[text_col].alias("text")).dropDuplicates(["__id"])
 
@@ -158,6 +159,7 @@ def posteriors(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_
                 n, p = (np.concatenate(x) for x in zip(*parts, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), _lists(p)], ["id", "n_tokens", "p"])
 
+    tk.modest_batches(docs)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, n_tokens bigint, p array<double>")
 
 

@@ -385,6 +385,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.string()) for c in columns[4:])], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
+    tk.modest_batches(docs)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 
 
@@ -403,6 +404,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
                         low = s
             yield batch.set_column(position, batch.schema.field(position), pa.array(texts, batch.schema.field(position).type))
 
+    tk.modest_batches(docs)
     return docs.mapInArrow(run, schema)
 
 

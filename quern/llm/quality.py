@@ -100,6 +100,7 @@ def bits() -> Column:
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_id: Column | None = None) -> DataFrame:
     """Each row's measures and ``failed`` (bits of RULES); one pass over the texts, no shuffle."""
+    tk.modest_batches(docs)
     given = docs.select((row_id if row_id is not None else F.lit(None)).cast("string").alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return given.mapInArrow(_measured, SCHEMA).withColumn("failed", bits())
 
@@ -123,6 +124,7 @@ def ablations(book: DataFrame, policy: str | list[str]) -> DataFrame:
 
 def filter_documents(docs: DataFrame, policy: str | list[str] = "v1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the policy keeps, columns unchanged.  Texts are measured where they lie: no join, no shuffle."""
+    tk.modest_batches(docs)
     names = docs.columns
     plain = [f"c{i}" for i in range(len(names))]  # the input's names may clash with the measures'
     position = names.index(text_col)

@@ -242,6 +242,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
             rows = [[{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in r] for r in find(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))], ["id", "spans"])
 
+    tk.modest_batches(docs)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 

@@ -347,6 +347,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id",
         yield pa.RecordBatch.from_pylist(rows, schema)
 
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("bytes", pa.int64())])
+    tk.modest_batches(docs)
     # ties (repeated identifiers) are split too: by text, then by place
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"), F.monotonically_increasing_id().alias("place"))
     order = [F.col("id").asc_nulls_first(), "tie", "place"]

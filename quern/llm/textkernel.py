@@ -198,3 +198,13 @@ def small(df, rows: int = BROADCAST_ROWS):
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.count() <= rows else df
+
+
+BATCH_ROWS = 1000
+
+
+def modest_batches(df, rows: int = BATCH_ROWS) -> None:
+    """Makes the session's Arrow batches small enough for long texts (they are held several times over, on both sides)."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
