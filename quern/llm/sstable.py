@@ -42,7 +42,7 @@ BLOCK_BYTES = 1 << 18
 SHARD_BYTES = 1 << 26
 MAGIC, TAIL = b"QSST1\n", b"QSSTEND\n"
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 _PLAIN, _STOP = np.zeros(256, bool), np.zeros(256, bool)
 _PLAIN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 #: The byte-level alphabet of public tokenizers: printable Latin-1 stands for itself, the other bytes, in order, for U+0100 onwards.
