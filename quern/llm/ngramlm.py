@@ -19,8 +19,8 @@ interpolated absolute discounting; the unigram level is the exact
 
 Counting is map-side first: a task turns its texts into sorted distinct
 integers with counts and sends delta-coded, compressed runs of them, not rows.
-Runs are dealt by expected mass, so that a frequent context is split over
-several shards.
+Runs are dealt by expected mass on every level, so that a frequent context is
+split over several shards.
 
 Defined results: null and empty texts are their end token alone; a null id
 counts as training; with no training text at all every token is unknown;
@@ -45,7 +45,7 @@ from quern.llm import textkernel as tk
 from quern.llm.sstable import filesystem
 
 _U = np.uint64
-ORDER = 2
+ORDER = 3
 DISCOUNT = 0.75
 LOWEST = -12.0  # log10 of the smallest probability that a byte holds
 RANGE_TOKENS = 2_000_000  # expected n-gram tokens of a shard
@@ -213,22 +213,21 @@ class Sharded:
         return _open[self.paths[k]]
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
-        out = np.full(len(wanted), -1, np.int64)
-        if len(self.paths):
-            which = np.searchsorted(self.first, wanted, "right") - 1
-            for k in np.unique(which):
-                if k >= 0:
-                    at = np.flatnonzero(which == k)
-                    found = find(self.arrays(int(k)), wanted[at])
-                    out[at] = np.where(found >= 0, found + self.base[k], -1)
-        return out
+        distinct, back = np.unique(wanted, return_inverse=True)  # each once, and a shard's together
+        out = np.full(len(distinct), -1, np.int64)
+        cuts = np.append(np.searchsorted(distinct, self.first), len(distinct))
+        for k in np.flatnonzero(cuts[1:] > cuts[:-1]):
+            found = find(self.arrays(int(k)), distinct[cuts[k] : cuts[k + 1]])
+            out[cuts[k] : cuts[k + 1]] = np.where(found >= 0, found + self.base[k], -1)
+        return out[back]
 
     def values(self, name: str, at: np.ndarray, default) -> np.ndarray:
         """An array's values at global places (-1: the default)."""
         out = np.full(len(at), default)
-        which = np.searchsorted(self.base, at, "right") - 1
-        for k in np.unique(which[at >= 0]):
-            here = np.flatnonzero((which == k) & (at >= 0))
+        order = np.argsort(at)
+        cuts = np.searchsorted(at, self.base, sorter=order)
+        for k in np.flatnonzero(cuts[1:] > cuts[:-1]):
+            here = order[cuts[k] : cuts[k + 1]]
             out[here] = self.arrays(int(k))[name][at[here] - self.base[k]]
         return out
 
@@ -237,7 +236,7 @@ class Model:
     """Vocabulary and levels; small enough to travel in a closure (paths and bounds only)."""
 
     def __init__(self, folder: str, words: list[tuple[str, int, int]], total: int):
-        self.folder, self.words, self.total, self.levels, self.fixed = folder, words, total, [], []
+        self.folder, self.words, self.total, self.levels, self.fixed, self.masses = folder, words, total, [], [], []
 
     @property
     def size(self) -> int:
@@ -264,8 +263,11 @@ class Model:
                 if s >= 0:
                     at = np.flatnonzero((which == s) & (context <= shards[s][4]))
                     out[at] = _decoded(opened.arrays(int(s))["backoff"][context[at] - shards[s][3]])
-            for c, weight in self.fixed[k - 2].items():
-                out[context == c] = weight
+            if self.fixed[k - 2]:
+                cut = np.array(sorted(self.fixed[k - 2]), np.int64)
+                place = np.minimum(np.searchsorted(cut, context), len(cut) - 1)
+                at = np.flatnonzero(cut[place] == context)
+                out[at] = np.array([self.fixed[k - 2][c] for c in cut.tolist()])[place[at]]
         return out
 
 
@@ -355,7 +357,7 @@ def train(docs: DataFrame, order: int = ORDER, text_col: str = "text") -> Model:
     rows = sorted(made.collect(), key=lambda r: r.part)  # one row per shard
     model = Model(folder, [(r.path, int(r.first), r.n) for r in rows], sum(r.total for r in rows))
     for k in range(2, order + 1):
-        _add_level(given, model, k)
+        _add_level(given, model, k, k < order)
     return model
 
 
@@ -399,9 +401,19 @@ class Walk:
         return counts, p
 
 
-def _add_level(given: DataFrame, model: Model, k: int) -> None:
+def dealt(contexts: Sharded, masses: list[int], context: np.ndarray, share: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each n-gram by the tokens of the contexts before its own (masses: of each shard) and, within its context, the share of tokens before its word."""
+    node = np.maximum(context, 0)
+    upto = contexts.values("mass", node, 0)
+    which = np.searchsorted(contexts.base, node, "right") - 1
+    before = np.where(node > contexts.base[which], contexts.values("mass", np.maximum(node - 1, 0), 0), 0)
+    started = np.concatenate([[0], np.cumsum(masses)])
+    return np.floor((started[which] + before + (upto - before) * share) * (ranges / max(1, int(started[-1])))).astype(np.int64)
+
+
+def _add_level(given: DataFrame, model: Model, k: int, above: bool) -> None:
+    """Counts and writes level k; ``above``: another level follows, which deals its runs by this one's counts."""
     spark, folder, size = given.sparkSession, model.folder, model.size
-    contexts = size if k == 2 else sum(s[2] for s in model.levels[k - 3])
     ranges = max(1, -(-model.total // RANGE_TOKENS))
 
     def mass(vocabulary: Sharded) -> np.ndarray:
@@ -411,15 +423,16 @@ def _add_level(given: DataFrame, model: Model, k: int) -> None:
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walk, held, n = Walk(model), [], 0
-        before = mass(walk.vocabulary) if k == 2 and len(walk.vocabulary.paths) else None
+        before = mass(walk.vocabulary) if len(walk.vocabulary.paths) else None
 
         def out():
             keys, counts, lower = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
             context, word = (keys // _U(size)).astype(np.int64), (keys % _U(size)).astype(np.int64)
-            if before is not None:  # by expected mass, so that a frequent context is cut by its words
+            # by expected mass, so that a frequent context is cut by its words
+            if k == 2:
                 at = np.floor(ranges * (before[context] + (before[context + 1] - before[context]) * before[word])).astype(np.int64)
             else:
-                at = context * ranges // max(1, contexts)
+                at = dealt(walk.levels[-1], model.masses[k - 3], context, before[word], ranges)
             at = np.minimum(at, ranges - 1)
             cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
             rows = [(int(at[a]), _delta(keys[a:b]), _zip(counts[a:b].astype(np.uint32)), _zip(lower[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -455,9 +468,11 @@ def _add_level(given: DataFrame, model: Model, k: int) -> None:
             p = np.maximum(counts - DISCOUNT, 0) / total[each] + weight[each] * 10.0 ** lower.astype(np.float64)
             backoff = np.zeros(hi - lo + 1, np.uint8)
             backoff[own - lo] = _coded(np.log10(weight))
-            path = save(folder, f"level{k}-{at:07d}", _keys_arrays(keys) | {"prob": _coded(np.log10(p)), "backoff": backoff, "counts": counts.astype(np.uint32), "lower": lower if len(cuts) == 1 else np.concatenate([lower[each == 0], lower[each == len(cuts) - 1]])})
+            mass = {"mass": np.cumsum(counts).astype(np.uint32 if counts.sum() < 1 << 32 else np.uint64)} if above else {}
+            heads = slice(None) if len(cuts) == 1 else np.flatnonzero((each == 0) | (each == len(cuts) - 1))
+            path = save(folder, f"level{k}-{at:07d}", _keys_arrays(keys) | mass | {"prob": _coded(np.log10(p)), "backoff": backoff, "counts": counts[heads].astype(np.uint32), "lower": lower[heads]})  # for mend: those of the first and last context
             ends = [(int(own[i]), int(total[i]), int(kinds[i])) for i in sorted({0, len(own) - 1})]
-            return {"at": at, "path": path, "first": str(int(keys[0])), "n": len(keys), "lo": lo, "hi": hi, "ends": str(ends)}
+            return {"at": at, "path": path, "first": str(int(keys[0])), "n": len(keys), "lo": lo, "hi": hi, "total": int(counts.sum()), "ends": str(ends)}
 
         current, parts, rows = None, [], []
         for batch in batches:
@@ -470,10 +485,10 @@ def _add_level(given: DataFrame, model: Model, k: int) -> None:
         if parts:
             rows.append(shard(current, parts))
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("at", pa.int64()), ("path", pa.string()), ("first", pa.string()), ("n", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("ends", pa.string())]))
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("at", pa.int64()), ("path", pa.string()), ("first", pa.string()), ("n", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("total", pa.int64()), ("ends", pa.string())]))
 
     sent = given.mapInArrow(runs, "at bigint, keys binary, counts binary, lower binary")
-    made = tk.cut(sent.repartition("at").sortWithinPartitions("at").mapInArrow(write_level, "at bigint, path string, first string, n bigint, lo bigint, hi bigint, ends string"), f"level{k}")
+    made = tk.cut(sent.repartition("at").sortWithinPartitions("at").mapInArrow(write_level, "at bigint, path string, first string, n bigint, lo bigint, hi bigint, total bigint, ends string"), f"level{k}")
     rows = sorted(made.collect(), key=lambda r: r.at)  # one row per shard
     shards = [(r.path, int(r.first), r.n, r.lo, r.hi) for r in rows]
     import ast
@@ -492,24 +507,28 @@ def _add_level(given: DataFrame, model: Model, k: int) -> None:
                     path, first, n, lo, hi = shards[i]
                     a = load(folder, path)
                     prob = a["prob"].copy()
-                    counts = a["counts"].astype(np.float64)
                     heads = []
                     for c in sorted({lo, hi}):
                         if c in split:
                             edge = np.array([c * size, (c + 1) * size], np.uint64)
                             s, e = _place(a, edge)
-                            lower = a["lower"][: e - s] if c == lo else a["lower"][len(a["lower"]) - (e - s) :]
+                            head = slice(e - s) if c == lo else slice(len(a["lower"]) - (e - s), None)
+                            counts, lower = a["counts"][head].astype(np.float64), a["lower"][head]
                             total, kinds = split[c]
-                            prob[s:e] = _coded(np.log10(np.maximum(counts[s:e] - DISCOUNT, 0) / total + DISCOUNT * kinds / total * 10.0 ** lower.astype(np.float64)))
+                            prob[s:e] = _coded(np.log10(np.maximum(counts - DISCOUNT, 0) / total + DISCOUNT * kinds / total * 10.0 ** lower.astype(np.float64)))
                             heads.append(c)
                     if heads:
-                        path = save(folder, os.path.basename(path) + "m", {**a, "prob": prob})
+                        path = save(folder, os.path.basename(path) + "m", {x: y for x, y in a.items() if x not in ("counts", "lower")} | {"prob": prob})
                     yield pa.RecordBatch.from_pylist([{"i": i, "path": path}])
 
         mended = tk.cut(spark.range(len(shards)).select("id").repartition(max(1, len(shards))).mapInArrow(mend, "i bigint, path string"), f"mended{k}")
+        system, _ = filesystem(folder)
         for r in mended.collect():
+            if r.path != shards[r.i][0]:
+                system.delete_file(shards[r.i][0])  # the mended file has taken its place
             shards[r.i] = (r.path, *shards[r.i][1:])
     model.levels.append(shards)
+    model.masses.append([r.total for r in rows])
     model.fixed.append({c: float(np.log10(DISCOUNT * kinds / total)) for c, (total, kinds) in split.items()})
 
 

@@ -128,6 +128,22 @@ def test_language_model(spark, monkeypatch, order, tokens):
     assert ngramlm.score(docs.limit(0), model).count() == 0
 
 
+def test_language_model_uses_longer_contexts(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(ngramlm, "RANGE_TOKENS", 60)
+    random.seed(4)
+    docs = frame(spark, [f"a b {'c' if i % 2 else random.choice('defgh') + str(i)}" for i in range(300)] + ["b d0 e", "x b c"])
+    model = ngramlm.train(docs, 3)
+    tokens = model.masses[1]
+    kinds = [s[2] for s in model.levels[1]]
+    assert max(kinds) < 0.5 * sum(kinds) and max(tokens) < 0.75 * sum(tokens)  # the context 'a b' is cut by its words
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in ngramlm.query(spark, str(tmp_path)).collect()}
+    kept = docs.where(~ngramlm.held_out())
+    three = {r.id: r.score for r in ngramlm.score(docs, ngramlm.train(kept, 3)).collect()}
+    two = {r.id: r.score for r in ngramlm.score(docs, ngramlm.train(kept, 2)).collect()}
+    assert got == three != two
+
+
 def test_language_model_of_nothing(spark):
     docs = frame(spark, ["a b"])
     model = ngramlm.train(docs.limit(0))
