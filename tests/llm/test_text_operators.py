@@ -228,6 +228,13 @@ def test_class_words_do_not_hide_the_article():
     assert wrapper.extract(f"<body><article>{body}<div class='ad'>buy this</div></article></body>").endswith("does.")
 
 
+def test_all_varying_text_is_kept():
+    long = "A long passage of the page. " * 20
+    assert wrapper.extract(f"<body><div><div><h1>Heading</h1></div><div><p>Intro</p><ul><li>{long}</li></ul></div></div></body>").split("\n\n") == ["Heading", "Intro", long.strip()]
+    assert wrapper.extract(f"<body><main><article><p>{long}</p></article><article><p>Second</p><article><p>Inner</p></article></article></main></body>").split("\n\n") == [long.strip(), "Second", "Inner"]
+    assert wrapper.extract("<body><article><p>See</p><ol><li><a href=1>First reference</a></li><li><a href=2>Second reference</a></li></ol></article></body>").split("\n\n") == ["See", "First reference", "Second reference"]
+
+
 def test_tree_matching():
     t = lambda x: wrapper._shape(wrapper.parse(x))
     a, b = t("<body><div class=x><p>1</p></div><p>2</p></body>"), t("<body><p>2</p></body>")
