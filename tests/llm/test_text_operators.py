@@ -235,6 +235,27 @@ def test_all_varying_text_is_kept():
     assert wrapper.extract("<body><article><p>See</p><ol><li><a href=1>First reference</a></li><li><a href=2>Second reference</a></li></ol></article></body>").split("\n\n") == ["See", "First reference", "Second reference"]
 
 
+def test_templates_keep_late_and_deep_constants():
+    from functools import reduce
+
+    def html(i, n):
+        deep = "<div>" * 60 + "<h2>Deep constant line.</h2>" + f"<p>deep {i}</p>" + "</div>" * 60
+        return "<body>" + "".join(f"<h2>head {i} {j}</h2><p>text {i} {j}</p>" for j in range(n)) + deep + "<h3>Written by the whole team.</h3></body>"
+
+    pages = [html(i, 40 if i == 2 else 2 + i % 3) for i in range(6)]
+    host = reduce(wrapper._merged, (wrapper._shape(wrapper.parse(x)) for x in pages))
+    for i, x in enumerate(pages):
+        text = wrapper.extract(x, host)
+        assert f"head {i} 0" in text and f"deep {i}" in text and "whole team" not in text and "Deep constant" not in text
+    tree = lambda labels: [[c, 1, 0, 0, [["p", 1, 0, 0, []]] * (ord(c) % 3)] for c in labels]
+    weight = lambda x, y, pairs: sum(wrapper._score(x[i], y[j], {}) for i, j in pairs)
+    rng = random.Random(3)
+    for _ in range(50):
+        x, y = (tree(rng.choices("abcdef", k=rng.randint(1, 30))) for _ in range(2))
+        total, pairs = wrapper._sparse(x, y, {})
+        assert total == weight(x, y, pairs) == weight(x, y, wrapper._pairs(x, y, {})) and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pairs, pairs[1:], strict=False))
+
+
 def test_tree_matching():
     t = lambda x: wrapper._shape(wrapper.parse(x))
     a, b = t("<body><div class=x><p>1</p></div><p>2</p></body>"), t("<body><p>2</p></body>")
