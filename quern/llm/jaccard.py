@@ -145,6 +145,11 @@ def product(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarra
 
 def join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_grams, component, text_hash): one row per document; component is the smallest id that links reach."""
+    return _classified(docs, n, percent, id_col, text_col).drop("root")
+
+
+def _classified(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The join with root, the component's own number (null without a set): components whose smallest ids are equal or null stay apart."""
     spark = docs.sparkSession
     tk.modest_batches(docs)
     seen = tk.cut(profile(docs, n, id_col, text_col), "jaccard-sets")
@@ -300,16 +305,27 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc
     roots = tk.cut(graph.components(links, "jaccard-links"), "jaccard-roots")
     least = classes.select("key", "least")
     lowest = roots.join(least, roots.node == least.key).groupBy("root").agg(F.min("least").alias("component"))
-    reached = roots.join(lowest, "root").select(F.col("node").alias("key"), "component")
-    by_key = least.join(reached, "key", "left").select("key", F.coalesce("component", "least").alias("component"))
-    return rows.join(by_key, "key", "left").select("id", "n_grams", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"), "text_hash")
+    reached = roots.join(lowest, "root").select(F.col("node").alias("key"), "root", "component")
+    by_key = least.join(reached, "key", "left").select("key", F.coalesce("root", "key").alias("root"), F.coalesce("component", "least").alias("component"))
+    return rows.join(by_key, "key", "left").select("id", "n_grams", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"), "text_hash", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each component: that of the smallest id (of rows that repeat it, the first by text hash; equal rows are all but one dropped).  Documents without a set all stay."""
-    found = join(docs, id_col=id_col, text_col=text_col, **options)
-    gone = tk.small(tk.cut(found.where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "jaccard-gone"))
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__hash"]), "left_anti")
+    """One document of each component: that of the smallest id (nulls last; of rows that repeat it, the first by text hash; of rows equal in both, any one).  Documents without a set all stay."""
+    found = _classified(docs, id_col=id_col, text_col=text_col, **options).where("root is not null")
+    each = found.groupBy("root", "id", "text_hash").agg(F.count("*").alias("n"))
+    first = each.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("first"), F.sum("n").alias("rows")).where("rows > 1")
+    stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    marked = tk.cut(each.join(first, "root").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), stays.alias("__stays"), "n").where("not __stays or n > 1").drop("n"), "jaccard-gone")
+    same = lambda rows: docs[id_col].cast("long").eqNullSafe(rows["__id"]) & (F.xxhash64(docs[text_col]) == rows["__hash"])
+    gone = tk.small(marked)
+    kept = docs.join(gone, same(gone), "left_anti")
+    repeated = marked.where("__stays")
+    if repeated.isEmpty():
+        return kept
+    repeated = tk.small(repeated)
+    once = docs.join(repeated, same(repeated), "inner").dropDuplicates(["__id", "__hash"]).drop("__id", "__hash", "__stays")
+    return kept.unionByName(once)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

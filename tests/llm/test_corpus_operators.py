@@ -61,6 +61,23 @@ def test_jaccard_odd_ids(spark):
     assert jaccard.join(frame(spark, [None, ""])).count() == 2
 
 
+def test_jaccard_keep_one_of_repeated_and_null_ids(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(5, long)] * 30 + [(5, long + " tail"), (7, long)]  # one id: exact copies and a linked text
+    rows += [(None, "a b c d e f")] * 20 + [(None, "A b c d e f")]  # no id at all
+    rows += [(5, other), (5, other), (9, other)]  # another component of the same smallest id
+    rows += [(None, "g h i j k l m"), (4, "g h i j k l m"), (8, "alone here"), (8, None), (8, None)]
+    docs = frame(spark, [t for _, t in rows], [i for i, _ in rows])
+    kept = jaccard.keep_one(docs)
+    got = [(r.doc_id, (r.text or "").lower()) for r in kept.collect()]
+    assert kept.columns == docs.columns
+    tail = [x for x in got if x[0] == 5 and x[1].startswith("w0 ")]
+    assert len(tail) == 1 and tail[0][1] in (long, long + " tail")
+    rest = [x for x in got if x not in tail]
+    assert sorted(rest, key=str) == sorted([(None, "a b c d e f"), (5, other), (4, "g h i j k l m"), (8, "alone here"), (8, ""), (8, "")], key=str)
+
+
 def test_product():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 50, 20)).astype(np.uint64) for _ in range(9)]
