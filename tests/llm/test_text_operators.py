@@ -244,6 +244,13 @@ def test_templates_keep_late_and_deep_constants():
 
     pages = [html(i, 40 if i == 2 else 2 + i % 3) for i in range(6)]
     host = reduce(wrapper._merged, (wrapper._shape(wrapper.parse(x)) for x in pages))
+    nodes = list(wrapper.preorder(host))
+    for i, t in enumerate(nodes):
+        t.append(i)
+    counts = [[0, 0] for _ in nodes]
+    for x in pages:
+        wrapper.tally(wrapper._shape(wrapper.parse(x)), host, counts)
+    host = wrapper.settled(host, [i for i, (n, hits) in enumerate(counts) if n >= 3 and 2 * hits > n])
     for i, x in enumerate(pages):
         text = wrapper.extract(x, host)
         assert f"head {i} 0" in text and f"deep {i}" in text and "whole team" not in text and "Deep constant" not in text
@@ -256,6 +263,14 @@ def test_templates_keep_late_and_deep_constants():
         assert total == weight(x, y, pairs) == weight(x, y, wrapper._pairs(x, y, {})) and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pairs, pairs[1:], strict=False))
 
 
+def test_a_true_majority_is_template(spark):
+    rows = [(i, "http://m.example/", f"<body><h1>Title {i}</h1><h2>{'Shared line' if i % 5 < 3 else f'Own line {i}'}</h2><h3>{'Half line' if i % 2 else f'Other {i}'}</h3><p>Text {i}</p></body>") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.id: r.text.split("\n\n") for r in wrapper.extract_pages(pages).collect()}
+    for i in range(20):  # a text on 60 % of the pages goes, one on half of them stays
+        assert got[i] == [f"Title {i}"] + ([] if i % 5 < 3 else [f"Own line {i}"]) + ["Half line" if i % 2 else f"Other {i}", f"Text {i}"]
+
+
 def test_tree_matching():
     t = lambda x: wrapper._shape(wrapper.parse(x))
     a, b = t("<body><div class=x><p>1</p></div><p>2</p></body>"), t("<body><p>2</p></body>")
