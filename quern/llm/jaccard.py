@@ -9,16 +9,18 @@ row), columns are n-grams.  The whole product is never made:
 2.  Sets of n that reach the threshold t share m n-grams among the first
     n - ceil(t n) + m of that order, whatever m; here m is 1 + n // 16 (of the
     smaller set).  Those entries are the sub-matrix that is shuffled by
-    column.  In columns of up to SHORT rows every pair of sizes within t of
-    each other adds to its overlap count, and pairs that stay below m are
-    discarded.  In longer columns rows are only chained, by size, so a pair
-    that meets in one is never lost and never expanded.  What remains joins
-    rows to families.
+    column.  In columns of up to SHORT rows, a handful, the pairs of sizes
+    within t of each other add to their overlap counts, and pairs that stay
+    below m are discarded.  In longer columns rows are only chained, by size,
+    so a pair that meets in one is never lost and never expanded.  A column so
+    gives less than two rows for each of its entries, whatever its length.
+    What remains joins rows to families.
 3.  Families are cut into blocks by size class and hash.  Only block pairs of
     the same or neighbouring size classes can hold links; each such pair is
     one product, accumulated over column chunks, whose entries below the bound
-    100 o >= 75 (a + b - o) are dropped.  What leaves a block pair is a forest,
-    at most one row per document, with the links' components.
+    100 o >= 75 (a + b - o) are dropped.  What leaves a block pair is a forest
+    with the links' components and each row's number of links, at most two
+    rows per document.
 4.  Components of the forests, distributed.
 
 Exact copies are never expanded.  Defined results: null and empty texts (and
@@ -49,9 +51,10 @@ BLOCK_DOCS = 1024
 BLOCK_GRAMS = 1_000_000
 CLASS_BASE = 1.34  # above 100 / PERCENT, so that linked sizes are at most one class apart
 COLUMNS = 4096
-SHORT = 32
+SHORT = 4
 FILTER_BITS = 26  # at most 2**20 broadcast rows
 SURE = 1 << 40  # the count of a chained pair
+PLACED_BYTES = 16_000_000  # of members and their block pairs that are broadcast
 
 
 def shared_at_least(size):
@@ -144,7 +147,7 @@ def product(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarra
 
 
 def join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_grams, component, text_hash): one row per document; component is the smallest id that links reach."""
+    """(id, n_grams, component, n_links, text_hash): one row per document; component is the smallest id that links reach, n_links the number of rows that link with it directly."""
     return _classified(docs, n, percent, id_col, text_col).drop("root")
 
 
@@ -244,9 +247,9 @@ def _classified(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str
     family = tk.cut(graph.components(pairs, "jaccard-families"), "jaccard-family")
 
     # blocks: a family that is small is one; else by size class and hash
-    classes = rows.where("key is not null").groupBy("key").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.max("n_grams").alias("n_grams"), F.min("id").alias("least"))
+    classes = rows.where("key is not null").groupBy("key").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.max("n_grams").alias("n_grams"), F.min("id").alias("least"), F.count("*").alias("copies"))
     members = classes.join(family.select(F.col("node").alias("key"), F.col("root").alias("fam")), "key")
-    members = tk.cut(members.select("key", "fam", "n_grams", F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash"), F.floor(F.log(CLASS_BASE, F.col("n_grams"))).cast("int").alias("cls")), "jaccard-members")
+    members = tk.cut(members.select("key", "fam", "n_grams", "copies", F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash"), F.floor(F.log(CLASS_BASE, F.col("n_grams"))).cast("int").alias("cls")), "jaccard-members")
     blocks = members.groupBy("fam", "cls").agg(F.sum("n_grams").alias("grams"), F.count("*").alias("docs"))
     per = F.greatest(F.ceil(F.col("grams") / BLOCK_GRAMS), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("int")
     plan = blocks.withColumn("salts", per).groupBy("fam").agg(F.map_from_entries(F.collect_list(F.struct("cls", "salts"))).alias("salts"), F.sum("grams").alias("grams"), F.sum("docs").alias("docs"))  # a family has a few size classes
@@ -260,54 +263,66 @@ def _classified(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str
     above = F.transform(upto(up(1)), lambda j: pair(cls, own, cls + 1, j, F.lit(0)))
     below = F.transform(upto(up(-1)), lambda j: pair(cls - 1, j, cls, own, F.lit(1)))
     where = F.when(F.col("salts").isNull(), F.array(pair(F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(0)))).otherwise(F.concat(within, above, below))
-    placed = tk.cut(placed.select(F.col("id").alias("m_id"), F.col("text_hash").alias("m_hash"), "key", "fam", where.alias("pairs")), "jaccard-placed")
-    few = (placed.agg(F.sum(F.size("pairs"))).first()[0] or 0) <= tk.BROADCAST_ROWS
+    placed = tk.cut(placed.select(F.col("id").alias("m_id"), F.col("text_hash").alias("m_hash"), "key", "fam", "copies", where.alias("pairs")), "jaccard-placed")
+    few = (placed.agg(F.sum(48 + 32 * F.size("pairs"))).first()[0] or 0) <= PLACED_BYTES
     texts = docs.select(F.col(id_col).cast("long").alias("d_id"), F.xxhash64(text_col).alias("d_hash"), F.col(text_col).alias("text"))
     # a bit set of fixed size, broadcast, keeps most other texts out of the shuffle; it may let some through, never the reverse
     slot = lambda h: F.pmod(h, F.lit(1 << FILTER_BITS))
     marks = placed.groupBy(F.floor(slot(F.col("m_hash")) / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(m_hash, 64) as int))")).alias("mask"))
     texts = texts.withColumn("word", F.floor(slot(F.col("d_hash")) / 64)).join(F.broadcast(marks), "word").where(F.col("mask").bitwiseAND(F.expr("shiftleft(1L, cast(pmod(d_hash, 64) as int))")) != 0).drop("word", "mask")
-    found = texts.join(F.broadcast(placed) if few else placed, F.col("d_id").eqNullSafe(F.col("m_id")) & (F.col("d_hash") == F.col("m_hash"))).select("key", "fam", F.explode("pairs").alias("p"), "text")
-    flat = found.select(F.xxhash64("fam", "p.a", "p.i", "p.b", "p.j").alias("pair"), (F.struct("p.a", "p.i") == F.struct("p.b", "p.j")).alias("self"), "p.side", "key", "text")
+    found = texts.join(F.broadcast(placed) if few else placed, F.col("d_id").eqNullSafe(F.col("m_id")) & (F.col("d_hash") == F.col("m_hash"))).select("key", "fam", "copies", F.explode("pairs").alias("p"), "text")
+    flat = found.select(F.xxhash64("fam", "p.a", "p.i", "p.b", "p.j").alias("pair"), (F.struct("p.a", "p.i") == F.struct("p.b", "p.j")).alias("self"), "p.side", "key", "copies", "text")
 
     def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(keys, sides, sets, alone):
-            keys, sides = np.array(keys, np.int64), np.array(sides)
+        def edges(keys, copies, sides, sets, alone):
+            """A block pair's links as a forest (u, v) and, with v null, each row's number of links (copies of its partners)."""
+            keys, copies, sides = np.array(keys, np.int64), np.array(copies, np.int64), np.array(sides)
             _, once = np.unique(keys, return_index=True)  # repeated rows
             groups = [once] if alone else [once[sides[once] == 0], once[sides[once] == 1]]
             if min(map(len, groups)) < (2 if alone else 1):
                 return None
             parts = [[sets[i] for i in g] for g in groups]
             size = [np.array([len(s) for s in p], np.int64) for p in parts]
-            a, b = np.nonzero(_links(product(parts[0], parts[1] if not alone else None), size[0], size[-1], percent))
-            u, v = keys[groups[0][a]], keys[groups[-1][b]]
-            node, root = graph.labels(u[u != v], v[u != v])
-            return pa.RecordBatch.from_arrays([pa.array(node[node != root]), pa.array(root[node != root])], ["u", "v"])
-
-        current, keys, sides, sets, alone = None, [], [], [], True
+            linked = _links(product(parts[0], parts[1] if not alone else None), size[0], size[-1], percent)
+            if alone:
+                np.fill_diagonal(linked, False)
+            a, b = np.nonzero(linked)
+            node, root = graph.labels(keys[groups[0][a]], keys[groups[-1][b]])
+            node, root = node[node != root], root[node != root]
+            degrees = [(groups[0], linked @ copies[groups[-1]])] + ([] if alone else [(groups[1], copies[groups[0]] @ linked)])
+            row, n_links = (np.concatenate(x) for x in zip(*[(keys[g][n > 0], n[n > 0]) for g, n in degrees], strict=True))
+            first, last = pa.array(np.concatenate([node, row])), pa.concat_arrays([pa.array(root), pa.nulls(len(row), pa.int64())])
+            return pa.RecordBatch.from_arrays([first, last, pa.array(np.concatenate([np.zeros(len(node), np.int64), n_links]))], ["u", "v", "n"])
+
+        current, keys, copies, sides, sets, alone = None, [], [], [], [], True
         for batch in batches:
-            pair, self_, side, key = (batch.column(i).to_pylist() for i in range(4))
+            pair, self_, side, key, copy = (batch.column(i).to_pylist() for i in range(5))
             at = 0
-            for _, _, data, off in tk.chunks(batch.column(4)):
+            for _, _, data, off in tk.chunks(batch.column(5)):
                 for s in _sets(data, off, n):
                     if pair[at] != current:
-                        if len(keys) > 1 and (out := edges(keys, sides, sets, alone)) is not None:
+                        if len(keys) > 1 and (out := edges(keys, copies, sides, sets, alone)) is not None:
                             yield out
-                        current, keys, sides, sets, alone = pair[at], [], [], [], self_[at]
+                        current, keys, copies, sides, sets, alone = pair[at], [], [], [], [], self_[at]
                     keys.append(key[at])
+                    copies.append(copy[at])
                     sides.append(side[at])
                     sets.append(s)
                     at += 1
-        if len(keys) > 1 and (out := edges(keys, sides, sets, alone)) is not None:
+        if len(keys) > 1 and (out := edges(keys, copies, sides, sets, alone)) is not None:
             yield out
 
-    links = flat.repartition("pair").sortWithinPartitions("pair").mapInArrow(multiplied, "u bigint, v bigint")
-    roots = tk.cut(graph.components(links, "jaccard-links"), "jaccard-roots")
-    least = classes.select("key", "least")
+    links = tk.cut(flat.repartition("pair").sortWithinPartitions("pair").mapInArrow(multiplied, "u bigint, v bigint, n bigint"), "jaccard-edges")
+    roots = tk.cut(graph.components(links.where("v is not null").select("u", "v"), "jaccard-links"), "jaccard-roots")
+    degrees = links.where("v is null").groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("n"))
+    least = classes.select("key", "least", "copies")
     lowest = roots.join(least, roots.node == least.key).groupBy("root").agg(F.min("least").alias("component"))
     reached = roots.join(lowest, "root").select(F.col("node").alias("key"), "root", "component")
-    by_key = least.join(reached, "key", "left").select("key", F.coalesce("root", "key").alias("root"), F.coalesce("component", "least").alias("component"))
-    return rows.join(by_key, "key", "left").select("id", "n_grams", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"), "text_hash", "root")
+    n_links = (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")
+    by_key = tk.cut(least.join(reached, "key", "left").join(degrees, "key", "left").select("key", "copies", F.coalesce("root", "key").alias("root"), F.coalesce("component", "least").alias("component"), n_links), "jaccard-classes")
+    found = tk.spread_join(rows.where("key is not null"), by_key, "key", "copies").select("id", "n_grams", "component", "n_links", "text_hash", "root")
+    without = rows.where("key is null").select("id", "n_grams", F.col("id").alias("component"), F.lit(0).cast("long").alias("n_links"), "text_hash", F.lit(None).cast("long").alias("root"))
+    return found.unionByName(without)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -315,8 +330,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     found = _classified(docs, id_col=id_col, text_col=text_col, **options).where("root is not null")
     each = found.groupBy("root", "id", "text_hash").agg(F.count("*").alias("n"))
     first = each.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("first"), F.sum("n").alias("rows")).where("rows > 1")
+    first = tk.cut(first, "jaccard-first")
     stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    marked = tk.cut(each.join(first, "root").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), stays.alias("__stays"), "n").where("not __stays or n > 1").drop("n"), "jaccard-gone")
+    marked = tk.cut(tk.spread_join(each, first, "root", "rows").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), stays.alias("__stays"), "n").where("not __stays or n > 1").drop("n"), "jaccard-gone")
     same = lambda rows: docs[id_col].cast("long").eqNullSafe(rows["__id"]) & (F.xxhash64(docs[text_col]) == rows["__hash"])
     gone = tk.small(marked)
     kept = docs.join(gone, same(gone), "left_anti")
@@ -329,11 +345,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(F.col("id").alias("doc_id"), F.col("n_grams").alias("n_shingles"), F.col("component").alias("component_id"))
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(F.col("id").alias("doc_id"), F.col("n_grams").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
 
 
-def brute(texts: dict[int, str | None], n: int = N, percent: int = PERCENT) -> dict[int, tuple[int, int]]:
-    """All pairs, for tests: id -> (size, component)."""
+def brute(texts: dict[int, str | None], n: int = N, percent: int = PERCENT) -> dict[int, tuple[int, int, int]]:
+    """All pairs, for tests: id -> (size, component, number of links)."""
     import re
 
     sets = {}
@@ -341,6 +357,7 @@ def brute(texts: dict[int, str | None], n: int = N, percent: int = PERCENT) -> d
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
         sets[i] = {tuple(w[j : j + n]) for j in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
     root = {i: i for i in sets}
+    n_links = dict.fromkeys(sets, 0)
 
     def find(i):
         while root[i] != i:
@@ -352,9 +369,11 @@ def brute(texts: dict[int, str | None], n: int = N, percent: int = PERCENT) -> d
         for j in ids[:x]:
             a, b = sets[i], sets[j]
             if a and b and min(len(a), len(b)) * 100 >= percent * max(len(a), len(b)) and 100 * len(a & b) >= percent * len(a | b):
+                n_links[i] += 1
+                n_links[j] += 1
                 p, q = sorted((find(i), find(j)))
                 root[q] = p
-    return {i: (len(sets[i]), find(i)) for i in ids}
+    return {i: (len(sets[i]), find(i), n_links[i]) for i in ids}
 
 
 #: For tables of distinct ids: all pairs that share a shingle, then reachability.
@@ -366,5 +385,5 @@ o as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.
 l as (select x, y from o join n p on x = p.doc_id join n q on y = q.doc_id where 100 * c >= 75 * (p.n + q.n - c)),
 e as (select x, y from l union all select y, x from l),
 r as (select doc_id, doc_id as root from documents union select e.y, r.root from r join e on r.doc_id = e.x)
-select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from (select doc_id, min(root) as component_id from r group by doc_id) left join n using (doc_id)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, coalesce(k, 0)::bigint as n_links from (select doc_id, min(root) as component_id from r group by doc_id) left join n using (doc_id) left join (select x as doc_id, count(*) as k from e group by x) using (doc_id)
 """

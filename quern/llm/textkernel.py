@@ -200,6 +200,23 @@ def small(df, rows: int = BROADCAST_ROWS):
     return F.broadcast(df) if df.count() <= rows else df
 
 
+HOT_KEYS = 20_000
+
+
+def spread_join(rows, table, key: str, copies: str):
+    """The inner join of rows with a written table of one row per key that says, in ``copies``, how many of the rows have it at most.
+
+    Keys with more than max(4, total / HOT_KEYS) rows, fewer than HOT_KEYS whatever the data, are broadcast and their
+    rows stay where they are; no other key is a large part of a shuffle partition.
+    """
+    from pyspark.sql import functions as F
+
+    most = max(4, (table.agg(F.sum(copies)).first()[0] or 0) // HOT_KEYS)
+    hot = table.where(F.col(copies) > most)
+    rare = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rare.join(table.where(F.col(copies) <= most), key))
+
+
 BATCH_ROWS = 1000
 
 

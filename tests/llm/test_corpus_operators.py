@@ -46,10 +46,10 @@ def test_jaccard_join(spark, monkeypatch, small):
             monkeypatch.setattr(jaccard, name, value)
     texts = corpus()
     docs = frame(spark, texts).withColumn("component", F.lit("x")).withColumn("key", F.lit(1)).withColumn("word", F.lit(2))
-    got = {r.id: (r.n_grams, r.component) for r in jaccard.join(docs).collect()}
+    got = {r.id: (r.n_grams, r.component, r.n_links) for r in jaccard.join(docs).collect()}
     assert got == jaccard.brute(dict(enumerate(texts)))
     kept = jaccard.keep_one(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in got.values()})
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c, _ in got.values()})
 
 
 def test_jaccard_odd_ids(spark):
@@ -254,7 +254,7 @@ def test_pipeline(spark, tmp_path):
             book = {r.doc_id: r.failed for r in quality.ledger(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
             assert ids == {i for i, f in book.items() if f == 0}
         if name == "n-gram Jaccard join":
-            assert ids == {c for _, c in jaccard.brute(before).values()} and 1000 in ids and not {1001, 1002} & ids
+            assert ids == {c for _, c, _ in jaccard.brute(before).values()} and 1000 in ids and not {1001, 1002} & ids
         if name == "benchmark decontamination":
             assert set(before) - ids == {1004}
     assert seen[-1] == seen[-2]
