@@ -9,12 +9,14 @@ row), columns are n-grams.  The whole product is never made:
 2.  Sets of n that reach the threshold t share m n-grams among the first
     n - ceil(t n) + m of that order, whatever m; here m is 1 + n // 16 (of the
     smaller set).  Those entries are the sub-matrix that is shuffled by
-    column.  In columns of up to SHORT rows, a handful, the pairs of sizes
-    within t of each other add to their overlap counts, and pairs that stay
-    below m are discarded.  In longer columns rows are only chained, by size,
-    so a pair that meets in one is never lost and never expanded.  A column so
-    gives less than two rows for each of its entries, whatever its length.
-    What remains joins rows to families.
+    column.  Sets whose two least n-grams under two hashes agree, as near
+    copies mostly do, are one row here, a bundle.  In columns of up to SHORT
+    rows each pair of bundles of sizes within t adds to its overlap count, and
+    pairs that stay below m are discarded: what bundles share is no less than
+    what two of their sets share.  In longer columns rows are only chained, by
+    size, so a pair that meets in one is never lost and never expanded.  A
+    column so gives at most SHORT / 2 rows for each of its entries, whatever
+    its length.  What remains joins bundles to families.
 3.  Families are cut into blocks by size class and hash.  Only block pairs of
     the same or neighbouring size classes can hold links; each such pair is
     one product, accumulated over column chunks, whose entries below the bound
@@ -47,11 +49,12 @@ PERCENT = 75
 SKETCH_BITS = 20
 SKETCH_PART = 1 << 14  # counters in a row
 FAN_IN = 64  # sketches added in one task
+BUNDLE_SALTS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 BLOCK_DOCS = 1024
 BLOCK_GRAMS = 1_000_000
 CLASS_BASE = 1.34  # above 100 / PERCENT, so that linked sizes are at most one class apart
 COLUMNS = 4096
-SHORT = 4
+SHORT = 16
 FILTER_BITS = 26  # at most 2**20 broadcast rows
 SURE = 1 << 40  # the count of a chained pair
 PLACED_BYTES = 16_000_000  # of members and their block pairs that are broadcast
@@ -74,29 +77,36 @@ def _key(grams: np.ndarray) -> int:
     return int(tk.mix(np.array([tk.mix(grams ^ np.uint64(0xA0761D6478BD642F)).sum() + np.uint64(len(grams))], np.uint64)).view(np.int64)[0])
 
 
+def _bundle(grams: np.ndarray) -> int:
+    """A number that near copies mostly share: a hash of the least n-grams under two orders."""
+    least = np.array([tk.mix(grams ^ salt).min() for salt in BUNDLE_SALTS], np.uint64)
+    return int(tk.mix(tk.mix(least[:1]) ^ least[1:]).view(np.int64)[0])
+
+
 def profile(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of documents (id, text_hash, n_grams, key) and, with part not null, of the sketch."""
+    """Rows of documents (id, text_hash, n_grams, key, bundle) and, with part not null, of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["id", "text_hash", "n_grams", "key", "part", "task", "counts"]
+        names = ["id", "text_hash", "n_grams", "key", "bundle", "part", "task", "counts"]
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, bundles = [], [], []
             for _, _, data, off in tk.chunks(batch.column(2)):
                 sets = list(_sets(data, off, n))
                 sizes += [len(s) for s in sets]
                 keys += [_key(s) if len(s) else None for s in sets]
+                bundles += [_bundle(s) if len(s) else None for s in sets]
                 sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
             m = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(bundles, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         parts = len(sketch) // SKETCH_PART
         none = pa.nulls(parts, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(parts), pa.int32()), pa.array([TaskContext.get().partitionId()] * parts, pa.int32()), pa.array([x.tobytes() for x in sketch.reshape(parts, -1)], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(range(parts), pa.int32()), pa.array([TaskContext.get().partitionId()] * parts, pa.int32()), pa.array([x.tobytes() for x in sketch.reshape(parts, -1)], pa.binary())], names)
 
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return given.mapInArrow(run, "id bigint, text_hash bigint, n_grams bigint, key bigint, part int, task int, counts binary")
+    return given.mapInArrow(run, "id bigint, text_hash bigint, n_grams bigint, key bigint, bundle bigint, part int, task int, counts binary")
 
 
 def _added(rows: DataFrame) -> np.ndarray:
@@ -156,14 +166,14 @@ def _classified(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str
     spark = docs.sparkSession
     tk.modest_batches(docs)
     seen = tk.cut(profile(docs, n, id_col, text_col), "jaccard-sets")
-    rows = seen.where("part is null").select("id", "text_hash", "n_grams", "key")
+    rows = seen.where("part is null").select("id", "text_hash", "n_grams", "key", "bundle")
     order = spark.sparkContext.broadcast(np.minimum(_added(seen.where("part is not null").select("part", "task", "counts")), 65535).astype(np.uint16))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
             for _, _, data, off in tk.chunks(batch.column(0)):
-                grams, keys, sizes = [], [], []
+                grams, bundles, sizes = [], [], []
                 for s in _sets(data, off, n):
                     if not len(s) or (key := _key(s)) in done:
                         continue
@@ -171,39 +181,30 @@ def _classified(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str
                     p = len(s) - -(-percent * len(s) // 100) + shared_at_least(len(s))
                     rank = order.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                     grams.append(s[np.argsort(rank, kind="stable")[:p]])
-                    keys.append(key)
+                    bundles.append(_bundle(s))
                     sizes.append(len(s))
                 if grams:
                     each = [len(g) for g in grams]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each))], ["gram", "key", "size"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.repeat(np.array(bundles, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each))], ["gram", "bundle", "size"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Overlap counts of the pairs that meet in a task's columns (u, v, count, smaller size)."""
-        held: list[tuple[np.ndarray, ...]] = []
-        n_held = 0
+        """Overlap counts of the bundles that meet in a task's columns (u, v, count, smaller size), summed within a batch."""
         rest = tuple(np.zeros(0, np.int64) for _ in range(3))
         long_gram = None
 
-        def add(u, v, count, size):
-            nonlocal n_held
-            if len(u):
-                held.append((np.maximum(u, v), np.minimum(u, v), np.full(len(u), count, np.int64), size))
-                n_held += len(u)
-
-        def out():
-            u, v, count, size = (np.concatenate(x) for x in zip(*held, strict=True))
+        def summed(u, v, count, size):
+            u, v = np.maximum(u, v), np.minimum(u, v)
             order = np.lexsort((v, u))
             u, v, count, size = u[order], v[order], count[order], size[order]
-            first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]))
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (u[first], v[first], np.minimum(np.add.reduceat(count, first), SURE), size[first])], ["u", "v", "n", "size"])
-
-        def near(s, i, j):
-            return 100 * s[i] >= percent * s[j]
+            first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])[: len(u)])
+            if not len(first):
+                return pa.RecordBatch.from_arrays([pa.array(x) for x in (u, v, count, size)], ["u", "v", "n", "size"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (u[first], v[first], np.minimum(np.add.reduceat(count, first), SURE), np.minimum.reduceat(size, first))], ["u", "v", "n", "size"])
 
         def columns(g, k, s, last: bool):
-            """Handles whole columns; returns the rows of the last one unless it is whole too."""
+            """The pairs of whole columns, and the rows of the last column unless it is whole too."""
             nonlocal long_gram
-            new = np.concatenate([[True], (g[1:] != g[:-1]) | (k[1:] != k[:-1])])
+            new = np.concatenate([[True], (g[1:] != g[:-1]) | (k[1:] != k[:-1]) | (s[1:] != s[:-1])])
             g, k, s = g[new], k[new], s[new]
             begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
             each = np.diff(np.append(begin, len(g)))
@@ -216,45 +217,55 @@ def _classified(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str
                     begin, each, longer = begin[:-1], each[:-1], longer[:-1]
             row_longer = np.repeat(longer, each)
             m = len(row_longer)
+            # long columns: chains by size
             at = np.flatnonzero(row_longer[: max(0, m - 1)] & (g[: max(0, m - 1)] == g[1:m]))
-            at = at[near(s, at, at + 1)]
-            add(k[at], k[at + 1], SURE, s[at])
+            at = at[(100 * s[at] >= percent * s[at + 1]) & (k[at] != k[at + 1])]
+            pairs = [(k[at], k[at + 1], np.full(len(at), SURE), s[at])]
+            # short ones: a bundle's rows as one, of its least and largest size
             at = np.flatnonzero(~row_longer)
-            for j in range(1, SHORT):
-                at = at[at + j < m]
-                at = at[g[at] == g[at + j]]
-                if not len(at):
-                    break
-                close = at[near(s, at, at + j)]
-                add(k[close], k[close + j], 1, s[close])
-            return tail
+            at = at[np.lexsort((k[at], g[at]))]
+            g, k, s = g[at], k[at], s[at]
+            first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (k[1:] != k[:-1])])[: len(g)])
+            if len(first):
+                low, high = np.minimum.reduceat(s, first), np.maximum.reduceat(s, first)
+                order = np.lexsort((low, g[first]))
+                g, k, low, high = g[first][order], k[first][order], low[order], high[order]
+                at = np.arange(len(g))
+                for j in range(1, SHORT):
+                    at = at[at + j < len(g)]
+                    at = at[g[at] == g[at + j]]
+                    if not len(at):
+                        break
+                    near = at[100 * high[at] >= percent * low[at + j]]
+                    pairs.append((k[near], k[near + j], np.ones(len(near), np.int64), low[near]))
+            return tail, summed(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
 
         for batch in batches:
             now = tuple(np.concatenate([x, batch.column(i).to_numpy().astype(np.int64)]) for i, x in enumerate(rest))
             if len(now[0]):
-                rest = columns(*now, False)
-            if n_held > 500_000:
-                yield out()
-                held, n_held = [], 0
+                rest, out = columns(*now, False)
+                yield out
         if len(rest[0]):
-            columns(*rest, True)
-        if held:
-            yield out()
+            yield columns(*rest, True)[1]
 
-    entries = docs.select(F.col(text_col).alias("text")).mapInArrow(prefixes, "gram bigint, key bigint, size int")
-    pairs = entries.repartition("gram").sortWithinPartitions("gram", "size", "key").mapInArrow(met, "u bigint, v bigint, n bigint, size bigint")
+    entries = docs.select(F.col(text_col).alias("text")).mapInArrow(prefixes, "gram bigint, bundle bigint, size int")
+    pairs = entries.repartition("gram").sortWithinPartitions("gram", "size", "bundle").mapInArrow(met, "u bigint, v bigint, n bigint, size bigint")
     pairs = pairs.groupBy("u", "v").agg(F.sum("n").alias("n"), F.min("size").alias("size")).where(F.col("n") >= shared_at_least(F.col("size"))).select("u", "v")
     family = tk.cut(graph.components(pairs, "jaccard-families"), "jaccard-family")
 
+    # a bundle of several sets is a family, too
+    classes = rows.where("key is not null").groupBy("key").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.max("n_grams").alias("n_grams"), F.min("id").alias("least"), F.count("*").alias("copies"), F.max("bundle").alias("bundle"))
+    classes = tk.cut(classes, "jaccard-sets-once")
+    bundles = classes.groupBy("bundle").agg(F.count("*").alias("of"))
+    family = tk.cut(bundles.join(family, bundles.bundle == family.node, "left").where("root is not null or of > 1").select("bundle", "of", F.coalesce("root", "bundle").alias("fam")), "jaccard-bundles")
+    members = tk.spread_join(classes, family, "bundle", "of")
     # blocks: a family that is small is one; else by size class and hash
-    classes = rows.where("key is not null").groupBy("key").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.max("n_grams").alias("n_grams"), F.min("id").alias("least"), F.count("*").alias("copies"))
-    members = classes.join(family.select(F.col("node").alias("key"), F.col("root").alias("fam")), "key")
     members = tk.cut(members.select("key", "fam", "n_grams", "copies", F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash"), F.floor(F.log(CLASS_BASE, F.col("n_grams"))).cast("int").alias("cls")), "jaccard-members")
     blocks = members.groupBy("fam", "cls").agg(F.sum("n_grams").alias("grams"), F.count("*").alias("docs"))
     per = F.greatest(F.ceil(F.col("grams") / BLOCK_GRAMS), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("int")
     plan = blocks.withColumn("salts", per).groupBy("fam").agg(F.map_from_entries(F.collect_list(F.struct("cls", "salts"))).alias("salts"), F.sum("grams").alias("grams"), F.sum("docs").alias("docs"))  # a family has a few size classes
-    plan = plan.select("fam", F.when((F.col("grams") > BLOCK_GRAMS) | (F.col("docs") > BLOCK_DOCS), F.col("salts")).alias("salts"))
-    placed = members.join(plan, "fam").withColumn("own", F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.col("key"), F.element_at("salts", F.col("cls"))).cast("int")))
+    plan = plan.select("fam", "docs", F.when((F.col("grams") > BLOCK_GRAMS) | (F.col("docs") > BLOCK_DOCS), F.col("salts")).alias("salts"))
+    placed = tk.spread_join(members, tk.cut(plan, "jaccard-plan"), "fam", "docs").withColumn("own", F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.col("key"), F.element_at("salts", F.col("cls"))).cast("int")))
     up = lambda c: F.coalesce(F.try_element_at("salts", F.col("cls") + c), F.lit(0))
     upto = lambda m: F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>"))
     pair = lambda a, i, b, j, side: F.struct(a.cast("int").alias("a"), i.cast("int").alias("i"), b.cast("int").alias("b"), j.cast("int").alias("j"), side.cast("int").alias("side"))
