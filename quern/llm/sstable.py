@@ -9,8 +9,8 @@ in order, to shards in the shared folder.  A shard is
     bloom    a filter over the keys
     footer   places of index and filter, totals, checksum, "QSSTEND\\n"
 
-so that one identifier is found by the filter, a binary search of the sparse
-index and one block.  Keys are 9 bytes that sort as the identifiers do (null
+so that one identifier is found by the manifest's first and last keys, the
+filter, a binary search of the sparse index and one block.  Keys are 9 bytes that sort as the identifiers do (null
 first); repeated identifiers are kept, in the order of their text hashes.
 
 Defined results: null and empty texts have the end id alone; an empty table
@@ -43,12 +43,14 @@ SHARD_BYTES = 1 << 26
 MAGIC, TAIL = b"QSST1\n", b"QSSTEND\n"
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 CACHE_WORDS = 300_000
+TEMPORARY = ".tmp"
 _PLAIN, _STOP = np.zeros(256, bool), np.zeros(256, bool)
 _PLAIN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 #: The byte-level alphabet of public tokenizers: printable Latin-1 stands for itself, the other bytes, in order, for U+0100 onwards.
 _SELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_LEVEL = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _SELF)}
 _STOP[[ord(c) for c in ".,;:!?"]] = True
+_CAPITAL = (np.arange(256) >= 0x41) & (np.arange(256) <= 0x5A)
 
 
 def filesystem(uri: str):
@@ -68,8 +70,9 @@ class Encoder:
     separates, so a text's ids are those of its words one after the other.  A
     space put between an ASCII letter or digit and the ASCII stop after it
     changes nothing either (the two are never one piece), but leaves fewer
-    distinct words; so does folding A-Z, left out where a special token's
-    brackets occur.
+    distinct words; so does folding A-Z.  The tokenizer composes letters with
+    their marks before it folds, so a letter before a character beyond ASCII
+    is left to it, and so is a chunk where a special token's brackets occur.
     """
 
     def __init__(self, path: str):
@@ -110,9 +113,11 @@ class Encoder:
         stops = np.flatnonzero(_PLAIN[data[:-1]] & _STOP[data[1:]]) + 1
         off = off + np.searchsorted(stops, off)
         data = np.insert(data, stops, 32)
+        if not ((data[:-1] == 0x3C) & (data[1:] == 0x7C)).any():
+            fold = _CAPITAL[data]
+            fold[:-1] &= data[1:] < 0x80
+            data[fold] += 32
         raw = data.tobytes()
-        if b"<|" not in raw:
-            raw = raw.lower()
         words: list[bytes] = []
         first = [0]
         for d in range(len(off) - 1):
@@ -242,7 +247,7 @@ class ShardWriter:
         self._write(raw)
         footer = struct.pack("<QQQQQQI", at_index, len(index), at_bloom, bits, len(self.seen), self.n_tokens, zlib.crc32(index + raw))
         self._write(footer + TAIL)
-        return {"n_docs": len(self.seen), "n_tokens": self.n_tokens, "bytes": self.at}
+        return {"n_docs": len(self.seen), "n_tokens": self.n_tokens, "bytes": self.at, "first": self.seen[0] if self.seen else None, "last": self.seen[-1] if self.seen else None}
 
 
 FOOTER = struct.calcsize("<QQQQQQI") + len(TAIL)
@@ -308,7 +313,7 @@ class Shard:
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Writes the shards and their manifest (part, seq, path, n_docs, n_tokens, bytes) below ``folder``; returns the manifest, one row per shard."""
+    """Writes the shards and their manifest (part, seq, path, n_docs, n_tokens, bytes, first and last key) below ``folder``; returns the manifest, one row per shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -327,36 +332,53 @@ def write(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id",
             rows.append({"part": part, "seq": len(rows), "path": names[1]} | done)
             writer = None
 
-        for batch in batches:
-            identifiers = batch.column(0).to_pylist()
-            at = 0
-            for _, _, data, off in tk.chunks(batch.column(1)):
-                ids, sizes = encode(data, off)
-                total = np.concatenate([[0], np.cumsum(sizes)])
-                for d in range(len(sizes)):
-                    if writer is None:
-                        system.create_dir(base, recursive=True)
-                        names = (f"{base}/.{part:07d}-{len(rows):05d}.{attempt}.tmp", f"{base}/{part:07d}-{len(rows):05d}.sst")
-                        writer = ShardWriter(system.open_output_stream(names[0]))
-                    writer.add(identifiers[at], np.append(ids[total[d] : total[d + 1]], np.uint32(end_id)))
-                    at += 1
-                    if writer.at + writer.held >= shard_bytes:
-                        close()
-        if writer is not None:
-            close()
+        try:
+            for batch in batches:
+                identifiers = batch.column(0).to_pylist()
+                at = 0
+                for _, _, data, off in tk.chunks(batch.column(1)):
+                    ids, sizes = encode(data, off)
+                    total = np.concatenate([[0], np.cumsum(sizes)])
+                    for d in range(len(sizes)):
+                        if writer is None:
+                            system.create_dir(base, recursive=True)
+                            names = (f"{base}/.{part:07d}-{len(rows):05d}.{attempt}{TEMPORARY}", f"{base}/{part:07d}-{len(rows):05d}.sst")
+                            writer = ShardWriter(system.open_output_stream(names[0]))
+                        writer.add(identifiers[at], np.append(ids[total[d] : total[d + 1]], np.uint32(end_id)))
+                        at += 1
+                        if writer.at + writer.held >= shard_bytes:
+                            close()
+            if writer is not None:
+                close()
+        except BaseException:
+            if writer is not None:
+                writer.out.close()
+                system.delete_file(names[0])
+            raise
         yield pa.RecordBatch.from_pylist(rows, schema)
 
-    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("bytes", pa.int64())])
+    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("bytes", pa.int64()), ("first", pa.binary()), ("last", pa.binary())])
     tk.modest_batches(docs)
     # ties (repeated identifiers) are split too: by text, then by place
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"), F.monotonically_increasing_id().alias("place"))
     order = [F.col("id").asc_nulls_first(), "tie", "place"]
-    made = given.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text").mapInArrow(run, "part int, seq int, path string, n_docs bigint, n_tokens bigint, bytes bigint")
+    made = given.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text").mapInArrow(run, "part int, seq int, path string, n_docs bigint, n_tokens bigint, bytes bigint, first binary, last binary")
     spark = docs.sparkSession
     made.write.parquet(f"{folder}-manifest")
+    _sweep(folder)
     return spark.read.schema(made.schema).parquet(f"{folder}-manifest")
 
 
+def _sweep(folder: str) -> None:
+    """Takes away what attempts that were killed have left."""
+    from pyarrow import fs
+
+    system, base = filesystem(folder)
+    for found in system.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+        if found.path.endswith(TEMPORARY):
+            system.delete_file(found.path)
+
+
 def read(spark, folder: str, manifest: DataFrame) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document, from the shards: one task a shard, one block at a time.
 
@@ -388,10 +410,11 @@ def read(spark, folder: str, manifest: DataFrame) -> DataFrame:
 
 
 def lookup(spark, folder: str, manifest: DataFrame, identifier: int | None) -> list[np.ndarray]:
-    """The token ids of one identifier's documents."""
+    """The token ids of one identifier's documents, from the shards whose keys reach around its own."""
     system, _ = filesystem(folder)
-    out = []
-    for r in sorted(manifest.collect(), key=lambda r: (r.part, r.seq)):
+    key, out = key_of(identifier), []
+    may = manifest.where((F.col("first") <= F.lit(key)) & (F.col("last") >= F.lit(key))).select("part", "seq", "path")
+    for r in sorted(may.collect(), key=lambda r: (r.part, r.seq)):
         with system.open_input_file(r.path) as source:
             out += Shard(source).lookup(identifier)
     return out
