@@ -1,7 +1,9 @@
 """Operators that read each document by itself: against brute force, with odd rows."""
 
+import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -136,10 +138,12 @@ def test_pii(docs, spark):
     rows = pii.scan(docs).collect()
     for r, t in zip(rows, [x.text for x in docs.collect()], strict=True):
         base = pii.brute(t)
-        assert r.n_email == base.count("email:") and set(filter(None, base.split(","))) <= set(r.spans.split(","))
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [base.count(f"{k}:") for k in pii.KINDS]
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and set(filter(None, base.split(","))) <= set(filter(None, r.spans.split(",")))
+        assert r.n_spans == len(list(filter(None, r.spans.split(",")))) == len(list(filter(None, base.split(",")))) + r.n_added
     weight, transition = pii.trained()
     correct = total = 0
-    for row in pii.LABELLED:
+    for row in pii.labelled():
         data, spans = pii._marked(row)
         starts, ends, shape, opens = pii.shapes(data, np.array([0, len(data)]))
         label = pii.decode(shape, opens)
@@ -151,10 +155,38 @@ def test_pii(docs, spark):
     assert correct >= 0.9 * total
     unseen = ["ring 555-0121 today", "kim at mail dot example dot com wrote", "in 2001 at noon", "no numbers here at all"]
     assert [len(added) for _, added in pii.find(pa.array(unseen))] == [1, 1, 0, 0]
+    assert pii.scan(docs.limit(0)).count() == 0
     red = pii.redact(docs)
     assert red.columns == docs.columns and red.count() == docs.count() and "[email]" in " ".join(r.text or "" for r in red.collect())
 
 
+def test_pii_held_out():
+    """Sentences of surroundings that were not trained on: spans with exact borders."""
+    want = found = right = 0
+    for row in pii.labelled(True):
+        data, spans = pii._marked(row)
+        ((base, added),) = pii.find(pa.array([data.tobytes().decode()]))
+        got, truth = {(pii.KINDS[k], s, e) for s, k, e in base + added}, set(spans)
+        want, found, right = want + len(truth), found + len(got), right + len(truth & got)
+    assert right >= 0.9 * want and right >= 0.9 * found and want > 100
+
+
+@given(st.text(alphabet="1290.@a_+- ()b\né", max_size=60))
+@settings(max_examples=500, deadline=None)
+def test_pii_base_spans_are_those_of_the_patterns(text):
+    raw = text.encode()
+    plain = [(m.start(), k, m.end()) for k, kind in enumerate(pii.KINDS) for m in pii.PATTERNS[kind].finditer(raw) if pii._valid(kind, m[0])]
+    assert sorted(pii.base_spans(raw)) == sorted(plain)
+
+
+def test_pii_of_very_long_runs():
+    start = time.monotonic()
+    for text in ("1" * 200_000, "1" * 5000 + ".1.1.1", "a" * 200_000, "a" * 100_000 + "@b", "@" * 100_000, "1." * 100_000, "+1" + "(" * 100_000, "000000001.2.3.4 x"):
+        pii.base_spans(text.encode())
+    assert time.monotonic() - start < 10
+    assert pii.base_spans(b"000000001.2.3.4") == [(0, 1, 15)] and pii.base_spans(b"9" * 5000 + b".1.1.1") == []
+
+
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(4)
     n = len(pii.LABELS)
