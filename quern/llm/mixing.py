@@ -1,23 +1,29 @@
 """Mixing sources to target weights (5): soft domain membership and document rates.
 
 A classifier trained on the labelled table gives every document posteriors over
-the domains.  Document rates r between 0 and ``MOST`` are then fitted so that
-the expected tokens of each domain, T_k = sum of r * tokens * p_k, meet the
-targets: least squares of (T_k - target_k) / sqrt(S_k), S_k being T_k at rate 1,
-by projected gradient steps.  In the metric of tokens a step is
-r <- clip(r - p . v) with v_k = (T_k - target_k) / S_k, whose Lipschitz constant
-is 1 (posteriors add up to one).  A step needs K sums over all documents and
-nothing else: a document's rate is a function of its posteriors and the short
-list of v, so no state is kept anywhere and a lost executor costs one task.
+the domains.  Nonnegative document rates r are then fitted so that the expected
+tokens of each domain, T_k = sum of r * tokens * p_k, meet the targets: least
+squares of T - target in the norm of the inverse of M, the domains' moments
+M_kl = sum of tokens * p_k * p_l, by projected gradient steps with momentum.  In
+the metric of tokens a step is r <- max(0, y - p . v) with v the solution of
+M v = T - target at the point y that momentum leads to, whose Lipschitz constant
+is 1; without a rate at zero one step is exact.  A step needs K sums over all
+documents and nothing else: a document's rate is a function of its posteriors
+and the short list of v, so no state is kept anywhere and a lost executor costs
+one task.  Steps go on until every domain is within ``tolerance`` of its target,
+or until ``PATIENCE`` steps take away less than ``GAIN`` of what is missing: the
+targets can't be reached then, and the least squares stand.  A rate above one
+asks for copies; ``most`` bounds the rates where copies are not wanted.
 
 The fit uses a bounded sample of labelled rows (``SAMPLE``); posteriors,
 moments, steps and decisions cover all documents.  The target total is that
-which leaves the ``anchor`` domain's expected tokens as they are; a domain that
-has fewer tokens than its target asks for is asked for all of them.
+which leaves the ``anchor`` domain's expected tokens as they are.
 
 Defined results: null and empty texts have no tokens and the posteriors of an
 empty text; without labelled rows posteriors are even; repeated rows are
-documents of their own; an empty table gives an empty result; other columns are
+documents of their own; of several labels of one id the worst domain counts, of
+several texts that of the least hash; a domain without any posterior cannot be
+reached and is left out; an empty table gives an empty result; other columns are
 not read.
 """
 
@@ -39,8 +45,9 @@ CHI_SQUARED = 15.0  # what a word must tell at least
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
 ANCHOR = "clean"
-MOST = 1.0
-STEPS, TOLERANCE = 25, 1e-4
+MOST = float("inf")
+TOLERANCE = 1e-3  # of each domain's target
+PATIENCE, GAIN = 5, 0.05
 ROUNDS, RATE, L2 = 150, 0.1, 1e-4
 
 _BYTES = np.arange(256)
@@ -99,8 +106,9 @@ def domain_of() -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", domain: Column | None = None, domains: tuple[str, ...] = DOMAINS) -> Classifier:
     """Multinomial logistic regression on word presence and shape, from at most ``sample`` labelled rows."""
     tk.modest_batches(docs)
-    chosen = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), (domain_of() if domain is None else domain).alias("domain")).orderBy(F.xxhash64("__id"), "domain").limit(sample)
-    given = docs.join(F.broadcast(chosen), docs[id_col] == F.col("__id")).select("__id", "domain", docs[text_col].alias("text")).dropDuplicates(["__id"])
+    worst = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(domain_of() if domain is None else domain).alias("domain"))
+    chosen = worst.orderBy(F.xxhash64("__id"), "__id").limit(sample)
+    given = docs.join(F.broadcast(chosen), docs[id_col] == F.col("__id")).groupBy("__id", "domain").agg(F.min_by(docs[text_col], F.struct(F.xxhash64(docs[text_col]), docs[text_col])).alias("text"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,57 +180,82 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def rates(p: np.ndarray, steps: list[np.ndarray], most: float = MOST) -> np.ndarray:
-    """Each document's rate after the given steps: from 1, clipped after each."""
-    r = np.ones(len(p))
-    for v in steps:
-        r = np.clip(r - p @ v, 0, most)
+    """Each document's rate after the given steps: from 1 (or the bound below it), clipped after each."""
+    r = y = np.full(len(p), min(1.0, most))
+    for i, v in enumerate(steps):
+        new = np.clip(y - p @ v, 0, most)
+        y, r = new + _momentum(i) * (new - r), new
     return r
 
 
-def solve(table: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = ANCHOR, most: float = MOST, domains: tuple[str, ...] = DOMAINS) -> list[np.ndarray]:
-    """The steps of the projected gradient, each from one small aggregation over the table (n_tokens, p)."""
+def _momentum(step: int) -> float:
+    return step / (step + 3)
+
+
+@dataclass
+class Fit:
+    """The steps of the projected gradient and, by domain, tokens at rate one, target and reached tokens."""
+
+    domains: tuple[str, ...]
+    steps: list[np.ndarray]
+    natural: np.ndarray
+    target: np.ndarray
+    reached: np.ndarray
+
+
+def solve(table: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = ANCHOR, most: float = MOST, domains: tuple[str, ...] = DOMAINS, tolerance: float = TOLERANCE) -> Fit:
+    """Fits the rates, each step from one small aggregation over the table (n_tokens, p)."""
     k = len(domains)
     weights = np.array([targets.get(d, 0.0) for d in domains])
     weights = weights / weights.sum()
 
-    def summed(steps: list[np.ndarray]) -> np.ndarray:
+    def summed(steps: list[np.ndarray], moments: bool = False) -> np.ndarray:
+        size = k + k * k * moments
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(k)
+            total = np.zeros(size)
             for batch in batches:
-                p = _matrix(batch.column(1))
-                total += p.T @ (batch.column(0).to_numpy() * rates(p, steps, most))
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], [f"s{i}" for i in range(k)])
-
-        parts = table.select("n_tokens", "p").mapInArrow(run, ", ".join(f"s{i} double" for i in range(k)))
-        return np.array([x or 0.0 for x in parts.agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(k))).first()])
-
-    natural = summed([])
-    if not natural.sum():
-        return []
-    goal = np.minimum(weights * natural[domains.index(anchor)] / weights[domains.index(anchor)], most * natural)
-    steps: list[np.ndarray] = []
-    now = natural
-    for _ in range(STEPS):
-        if np.abs(now - goal).max() <= TOLERANCE * goal.sum():
-            break
-        steps.append((now - goal) / np.maximum(natural, 1e-300))
-        before, now = now, summed(steps)
-        if np.abs(now - before).max() <= 1e-6 * natural.sum():
+                p, n = _matrix(batch.column(1)), batch.column(0).to_numpy()
+                total[:k] += p.T @ (n * rates(p, steps, most))
+                if moments:
+                    total[k:] += (p.T @ (n[:, None] * p)).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], [f"s{i}" for i in range(size)])
+
+        parts = table.select("n_tokens", "p").mapInArrow(run, ", ".join(f"s{i} double" for i in range(size)))
+        return np.array([x or 0.0 for x in parts.agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(size))).first()])
+
+    first = summed([], True)
+    natural, moment = first[:k], first[k:].reshape(k, k)
+    goal = weights * natural[domains.index(anchor)] / weights[domains.index(anchor)]
+    fit = Fit(domains, [], natural, goal, natural)
+    inverse = np.linalg.pinv(moment, hermitian=True)
+    miss = lambda t: max(0.0, float((t - goal) @ inverse @ (t - goal)))
+    misses, best, before, ahead, steps = [miss(natural)], fit, natural, natural, []
+    while natural.sum() and (np.abs(best.reached - goal) > tolerance * np.maximum(goal, tolerance * natural.sum())).any():
+        if len(misses) > PATIENCE and min(misses) >= (1 - GAIN) * min(misses[:-PATIENCE]):
             break
-    return steps
+        steps = [*steps, inverse @ (ahead - goal)]
+        now = summed(steps)
+        ahead, before = now + _momentum(len(steps) - 1) * (now - before), now  # the sums are linear in the rates
+        misses.append(miss(now))
+        if misses[-1] <= min(misses):
+            best = Fit(domains, steps, natural, goal, now)
+    return best
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = ANCHOR, most: float = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, p, rate) of every document."""
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = ANCHOR, most: float = MOST, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, p, rate) of every document, and by domain the target and the reached tokens (target_x, reached_x, the same in every row)."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
     table = tk.cut(posteriors(docs, model, id_col, text_col), "posteriors")
-    steps = solve(table, targets, anchor, most)
+    found = solve(table, targets, anchor, most, tolerance=tolerance)
+    steps = found.steps
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates(_matrix(batch.column(2)), steps, most))], ["id", "n_tokens", "p", "rate"])
 
-    return table.mapInArrow(run, "id bigint, n_tokens bigint, p array<double>, rate double")
+    totals = [F.lit(float(x)).alias(f"{name}_{d}") for name, xs in (("target", found.target), ("reached", found.reached)) for d, x in zip(found.domains, xs, strict=True)]
+    return table.mapInArrow(run, "id bigint, n_tokens bigint, p array<double>, rate double").select("id", "n_tokens", "p", "rate", *totals)
 
 
 def chance(id_col: str, text_col: str) -> Column:
@@ -230,10 +263,10 @@ def chance(id_col: str, text_col: str) -> Column:
     return F.pmod(F.xxhash64(F.lit("mix"), id_col, text_col), F.lit(1 << 40)) / float(1 << 40)
 
 
-def apply_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = ANCHOR, most: float = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def apply_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = ANCHOR, most: float = MOST, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents by their rates, columns unchanged: floor(rate) copies and one more by chance of the rest.  A rate follows from the text, so nothing is joined."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
-    steps = solve(tk.cut(posteriors(docs, model, id_col, text_col), "posteriors"), targets, anchor, most)
+    steps = solve(tk.cut(posteriors(docs, model, id_col, text_col), "posteriors"), targets, anchor, most, tolerance=tolerance).steps
     names = docs.columns
     plain = [f"c{i}" for i in range(len(names))]
     position = names.index(text_col)
@@ -252,4 +285,4 @@ def apply_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
 
 def query(spark, sf_dir: str) -> DataFrame:
     found = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return found.select(F.col("id").alias("doc_id"), "n_tokens", *(F.round(F.col("p")[i], 9).alias(f"p_{d}") for i, d in enumerate(DOMAINS)), F.round("rate", 9).alias("rate"))
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", *(F.round(F.col("p")[i], 9).alias(f"p_{d}") for i, d in enumerate(DOMAINS)), F.round("rate", 9).alias("rate"), *(F.round(f"{name}_{d}", 3).alias(f"{name}_{d}") for d in DOMAINS for name in ("target", "reached")))
