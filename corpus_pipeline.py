@@ -28,8 +28,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay by the rates that bring the domains to their target weights; clean documents have rates near one."""
-    return mixing.apply_rates(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents stay by the rates that bring the domains to within one hundredth of their target weights (at most one: no document comes twice); clean documents have rates near one."""
+    return mixing.apply_rates(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), most=1.0, tolerance=0.01)
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
