@@ -3,12 +3,12 @@
 A classifier trained on the labelled table gives every document posteriors over
 the domains.  Nonnegative document rates r are then fitted so that the expected
 tokens of each domain, T_k = sum of r * tokens * p_k, meet the targets: least
-squares of T - target in the norm of the inverse of M, the domains' moments
-M_kl = sum of tokens * p_k * p_l, by projected gradient steps with momentum.  In
-the metric of tokens a step is r <- max(0, y - p . v) with v the solution of
-M v = T - target at the point y that momentum leads to, whose Lipschitz constant
-is 1; without a rate at zero one step is exact.  A step needs K sums over all
-documents and nothing else: a document's rate is a function of its posteriors
+squares of (T_k - target_k) / sqrt(S_k), S_k being T_k at rate 1, by projected
+gradient steps with momentum.  In the metric of tokens a step is
+r <- max(0, y - p . v) with v_k = (T_k - target_k) / S_k at the point y that
+momentum leads to, whose Lipschitz constant is 1 (posteriors add up to one).  A
+domain that falls short takes nothing from the others.  A step needs K sums over
+all documents and nothing else: a document's rate is a function of its posteriors
 and the short list of v, so no state is kept anywhere and a lost executor costs
 one task.  Steps go on until every domain is within ``tolerance`` of its target,
 or until ``PATIENCE`` steps take away less than ``GAIN`` of what is missing: the
@@ -209,32 +209,27 @@ def solve(table: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = A
     weights = np.array([targets.get(d, 0.0) for d in domains])
     weights = weights / weights.sum()
 
-    def summed(steps: list[np.ndarray], moments: bool = False) -> np.ndarray:
-        size = k + k * k * moments
-
+    def summed(steps: list[np.ndarray]) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(size)
+            total = np.zeros(k)
             for batch in batches:
-                p, n = _matrix(batch.column(1)), batch.column(0).to_numpy()
-                total[:k] += p.T @ (n * rates(p, steps, most))
-                if moments:
-                    total[k:] += (p.T @ (n[:, None] * p)).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], [f"s{i}" for i in range(size)])
+                p = _matrix(batch.column(1))
+                total += p.T @ (batch.column(0).to_numpy() * rates(p, steps, most))
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], [f"s{i}" for i in range(k)])
 
-        parts = table.select("n_tokens", "p").mapInArrow(run, ", ".join(f"s{i} double" for i in range(size)))
-        return np.array([x or 0.0 for x in parts.agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(size))).first()])
+        parts = table.select("n_tokens", "p").mapInArrow(run, ", ".join(f"s{i} double" for i in range(k)))
+        return np.array([x or 0.0 for x in parts.agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(k))).first()])
 
-    first = summed([], True)
-    natural, moment = first[:k], first[k:].reshape(k, k)
+    natural = summed([])
     goal = weights * natural[domains.index(anchor)] / weights[domains.index(anchor)]
     fit = Fit(domains, [], natural, goal, natural)
-    inverse = np.linalg.pinv(moment, hermitian=True)
-    miss = lambda t: max(0.0, float((t - goal) @ inverse @ (t - goal)))
+    scale = np.divide(1.0, natural, out=np.zeros(k), where=natural > 0)
+    miss = lambda t: float(((t - goal) ** 2 * scale).sum())
     misses, best, before, ahead, steps = [miss(natural)], fit, natural, natural, []
     while natural.sum() and (np.abs(best.reached - goal) > tolerance * np.maximum(goal, tolerance * natural.sum())).any():
         if len(misses) > PATIENCE and min(misses) >= (1 - GAIN) * min(misses[:-PATIENCE]):
             break
-        steps = [*steps, inverse @ (ahead - goal)]
+        steps = [*steps, (ahead - goal) * scale]
         now = summed(steps)
         ahead, before = now + _momentum(len(steps) - 1) * (now - before), now  # the sums are linear in the rates
         misses.append(miss(now))
