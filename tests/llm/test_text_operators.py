@@ -300,6 +300,56 @@ def test_templates_keep_late_and_deep_constants():
         assert total == weight(x, y, pairs) == weight(x, y, wrapper._pairs(x, y, {})) and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pairs, pairs[1:], strict=False))
 
 
+def test_broken_markup_loses_no_article():
+    body = "<article><h1>Title</h1>{}<p>The text of it.</p></article>"
+    whole = "Title\n\nThe text of it."
+    for odd in ("<svg class=icon/>", "<iframe src=x/>", "<iframe>", "<svg>", "<noscript>", "<math/>", "<script>var a = '<p>';</script>", "<svg><text>x</text></svg>", "<iframe>x</iframe>"):
+        assert wrapper.extract(f"<body>{body.format(odd)}</body>") == whole, odd
+    assert wrapper.extract("<body><iframe src=x/>" + body.format("") + "</body>") == whole
+    for attribute in ("title='the hidden valley'", "data-x='x class=menu'", 'alt="a style=display:none b"', "data-a=1 title=\"id='nav'\""):
+        assert wrapper.extract(f"<body>{body.format('')}".replace("<p>", f"<p {attribute}>")) == whole, attribute
+    assert wrapper.extract("<body><article><p>1 < 2 and 3 > 2, <b>a<b, c & d</b></p><p class='menu>x</p></article>").startswith("1 < 2 and 3 > 2")
+    start = time.monotonic()
+    for text in ("<a " * 20_000, '<a ">"' * 20_000, "<a '" * 20_001, "<" * 50_000, "<iframe>" * 5000, "<!" * 20_000, "<div>" * 3000 + "deep", "</" * 20_000, "<![CDATA[" * 5000):
+        wrapper.extract(text)
+    assert time.monotonic() - start < 20
+
+
+def test_templates_do_not_depend_on_the_dealing(spark):
+    """A host of copies and of differing pages, dealt over 1, 5 and 16 tasks, with few hosts held at once."""
+    html = lambda i: f"<body><div class=x><h2>Story {i}</h2><p>Words of story {i}.</p><h3>All rights of this site.</h3></div></body>"
+    rows = [(i, f"http://h{i % 3}.example/{i}", html(i % 20 if i % 3 else 1)) for i in range(240)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    held, texts = wrapper.HOSTS, []
+    try:
+        wrapper.HOSTS = 1
+        for n in (1, 5, 16):
+            texts.append({r.id: r.text for r in wrapper.extract_pages(pages.repartition(n)).collect()})
+    finally:
+        wrapper.HOSTS = held
+    assert texts[0] == texts[1] == texts[2]
+    assert texts[0][1] == "Story 1\n\nWords of story 1." and texts[0][0].endswith("All rights of this site.")
+
+
+def test_tree_matching_against_brute_force():
+    """Simple tree matching by all order-preserving pairings of children."""
+    from itertools import combinations
+
+    def plain(a, b):
+        if a[0] != b[0]:
+            return 0
+        x, y = a[4], b[4]
+        return 1 + max(sum(plain(x[i], y[j]) for i, j in zip(p, q, strict=True)) for k in range(min(len(x), len(y)) + 1) for p in combinations(range(len(x)), k) for q in combinations(range(len(y)), k))
+
+    def tree(depth):
+        return [rng.choice("ab"), 1, 0, 0, [tree(depth - 1) for _ in range(rng.randint(0, 3) if depth else 0)]]
+
+    rng = random.Random(12)
+    for _ in range(60):
+        a, b = tree(3), tree(3)
+        assert wrapper._score(a, b, {}) == plain(a, b)
+
+
 def test_a_true_majority_is_template(spark):
     rows = [(i, "http://m.example/", f"<body><h1>Title {i}</h1><h2>{'Shared line' if i % 5 < 3 else f'Own line {i}'}</h2><h3>{'Half line' if i % 2 else f'Other {i}'}</h3><p>Text {i}</p></body>") for i in range(20)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
