@@ -1,21 +1,21 @@
 """LM scoring (9): an n-gram trie with Elias-Fano pointers.
 
-The trie has one level for each order.  A node of level k is (context, word):
-the context's number in level k - 1 and the word's number, as one integer
-context * V + word, so a level is an ascending sequence in which a context's
-successors stand together.  A level is kept in shards of bounded size, each a
-file that executors map into memory:
-
-*   the high parts of the integers as monotone bucket pointers in Elias-Fano
-    form (unary high bits with a rank directory, packed low bits),
-*   the low parts packed to their bits,
+The trie has one level for each order.  A node of level k is a successor word of
+a context, which is a node of level k - 1, by number; a level lists contexts in
+order and each context's successors, by word number, together.  A level is kept
+in shards of bounded size, each a file that executors map into memory:
+
+*   where each context's successors begin, monotone pointers in Elias-Fano form
+    (unary high bits with a rank directory, packed low bits),
+*   the successors' word numbers, packed to their bits,
 *   the smoothed log10 probability of each node in one byte,
 *   the backoff weight of each context in one byte.
 
-A query finds the bucket by two selects and the successor in it by binary
-search, for a whole batch of queries at once.  Probabilities are those of
-interpolated absolute discounting; the unigram level is the exact
-(c + 0.5) / (N + 0.5 (V + 1)).
+A query reads its context's range by two selects and finds the word in it by
+interpolation (word numbers are hashes' ranks, so they are spread evenly), for a
+whole batch of queries at once and once for each distinct one.  Probabilities
+are those of interpolated absolute discounting; the unigram level, found by
+word hash, is the exact (c + 0.5) / (N + 0.5 (V + 1)).
 
 Counting is map-side first: a task turns its texts into sorted distinct
 integers with counts and sends delta-coded, compressed runs of them, not rows.
@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import math
 import os
-import tempfile
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +49,7 @@ ORDER = 3
 DISCOUNT = 0.75
 LOWEST = -12.0  # log10 of the smallest probability that a byte holds
 RANGE_TOKENS = 2_000_000  # expected n-gram tokens of a shard
+OPEN_FILES, OPEN_BYTES = 512, 300_000_000  # shards that a worker keeps open
 HOLD = 2_500_000  # n-gram tokens that a task counts at once
 CHUNK = 1 << 20
 END = tk.mix(np.array([0xE5D], np.uint64))[0]  # the end token's hash
@@ -153,6 +154,55 @@ def find(a: dict[str, np.ndarray], wanted: np.ndarray) -> np.ndarray:
     return out
 
 
+def level_arrays(context: np.ndarray, word: np.ndarray, words: int) -> dict[str, np.ndarray]:
+    """The arrays of ascending (context, word) pairs, searched by ``successor``: pointers by context, packed word numbers."""
+    lo, hi = int(context[0]), int(context[-1])
+    begin = np.searchsorted(context, np.arange(lo, hi + 2)).astype(np.uint64)
+    high, before, low, ef = Pointers.build(begin)
+    bits = max(1, (words - 1).bit_length())
+    return {"meta": np.array([len(word), lo, hi, bits, ef, words], np.uint64), "high": high, "before": before, "low": low, "words": pack(word.astype(np.uint64), bits)}
+
+
+def successors(a: dict[str, np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The range of places that each context (ascending, within the shard) has."""
+    pointers = Pointers(a["high"], a["before"], a["low"], int(a["meta"][4]))
+    new = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])[: len(context)])
+    each = np.diff(np.append(new, len(context)))
+    rel = context[new] - int(a["meta"][1])
+    return np.repeat(pointers[rel], each), np.repeat(pointers[rel + 1], each)
+
+
+def successor(a: dict[str, np.ndarray], context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The place of each (context, word), contexts ascending, or -1."""
+    _, first, last, bits, _, words = (int(x) for x in a["meta"])
+    out = np.full(len(context), -1, np.int64)
+    at = np.flatnonzero((context >= first) & (context <= last))
+    if not len(at):
+        return out
+    lo, hi = successors(a, context[at])
+    word = word[at]
+    left, right = np.full(len(at), -1, np.int64), np.full(len(at), words, np.int64)  # the words that stand before lo and at hi
+    step = 0
+    while len(at):  # those that are done leave
+        going = lo < hi
+        if not going.all():
+            at, word, lo, hi, left, right = (x[going] for x in (at, word, lo, hi, left, right))
+        if step % 4 == 3:  # unevenly spread words: by halves now and then
+            middle = (lo + hi) >> 1
+        else:
+            middle = lo + (word - left - 1) * (hi - lo) // (right - left - 1)
+        value = unpack(a["words"], middle, bits).astype(np.int64)
+        hit = value == word
+        out[at[hit]] = middle[hit]
+        less = value < word
+        lo, left = np.where(less, middle + 1, lo), np.where(less, value, left)
+        hi, right = np.where(less, hi, middle), np.where(less, right, value)
+        if hit.any():
+            at, word, lo, hi, left, right = (x[~hit] for x in (at, word, lo, hi, left, right))
+        step += 1
+    return out
+
+
 # -- files --------------------------------------------------------------------------------------------------
 
 
@@ -177,47 +227,60 @@ def save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> str:
     return f"{base}/{name}"
 
 
-def load(folder: str, path: str) -> dict[str, np.ndarray]:
-    """The arrays of a file, mapped.  A file on a remote store is copied first and unlinked once it is mapped."""
+def load(folder: str, path: str) -> tuple[dict[str, np.ndarray], int]:
+    """The arrays of a file and the bytes of memory they take: none where the file can be mapped, all of it where a remote store holds it."""
     import json
     import mmap
 
     system, _ = filesystem(folder)
     if system.type_name == "local":
-        f = open(path, "rb")  # noqa: SIM115
+        with open(path, "rb") as f:
+            raw, held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), 0
     else:
-        f = tempfile.TemporaryFile()  # noqa: SIM115
         with system.open_input_stream(path) as source:
-            while piece := source.read(1 << 22):
-                f.write(piece)
-        f.flush()
-    with f:
-        mapped = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-    return {k: np.frombuffer(mapped, dtype, n, at) for k, dtype, n, at in json.loads(mapped[:4096])}
+            raw = source.read()
+        held = len(raw)
+    return {k: np.frombuffer(raw, dtype, n, at) for k, dtype, n, at in json.loads(raw[:4096])}, held
 
 
-_open: dict[str, dict[str, np.ndarray]] = {}
+_open: OrderedDict[str, tuple[dict[str, np.ndarray], int]] = OrderedDict()
+
+
+def opened(folder: str, path: str) -> dict[str, np.ndarray]:
+    """A shard's arrays; those used longest ago are let go beyond OPEN_FILES mapped files or OPEN_BYTES read ones."""
+    if path in _open:
+        _open.move_to_end(path)
+    else:
+        _open[path] = load(folder, path)
+        while len(_open) > 1 and (len(_open) > OPEN_FILES or sum(held for _, held in _open.values()) > OPEN_BYTES):
+            _open.popitem(last=False)
+    return _open[path][0]
 
 
 class Sharded:
-    """An ascending set over several files.  shards: (path, first integer, number of integers), in order."""
+    """An ascending set over several files.  shards: (path, first integer, number of integers), in order.
 
-    def __init__(self, folder: str, shards: list[tuple[str, int, int]]):
-        self.folder, self.paths = folder, [s[0] for s in shards]
+    With ``words``, a level: its integers are context * words + word, and shards are searched by context.
+    """
+
+    def __init__(self, folder: str, shards: list[tuple[str, int, int]], words: int = 0):
+        self.folder, self.paths, self.words = folder, [s[0] for s in shards], words
         self.first = np.array([s[1] for s in shards], np.uint64)
         self.base = np.concatenate([[0], np.cumsum([s[2] for s in shards])]).astype(np.int64)
 
     def arrays(self, k: int) -> dict[str, np.ndarray]:
-        if self.paths[k] not in _open:
-            _open[self.paths[k]] = load(self.folder, self.paths[k])
-        return _open[self.paths[k]]
+        return opened(self.folder, self.paths[k])
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
         distinct, back = np.unique(wanted, return_inverse=True)  # each once, and a shard's together
         out = np.full(len(distinct), -1, np.int64)
         cuts = np.append(np.searchsorted(distinct, self.first), len(distinct))
         for k in np.flatnonzero(cuts[1:] > cuts[:-1]):
-            found = find(self.arrays(int(k)), distinct[cuts[k] : cuts[k + 1]])
+            here = distinct[cuts[k] : cuts[k + 1]]
+            if self.words:
+                found = successor(self.arrays(int(k)), (here // _U(self.words)).astype(np.int64), (here % _U(self.words)).astype(np.int64))
+            else:
+                found = find(self.arrays(int(k)), here)
             out[cuts[k] : cuts[k + 1]] = np.where(found >= 0, found + self.base[k], -1)
         return out[back]
 
@@ -237,6 +300,7 @@ class Model:
 
     def __init__(self, folder: str, words: list[tuple[str, int, int]], total: int):
         self.folder, self.words, self.total, self.levels, self.fixed, self.masses = folder, words, total, [], [], []
+        self.word_masses: list[int] = []
 
     @property
     def size(self) -> int:
@@ -246,7 +310,7 @@ class Model:
         return Sharded(self.folder, self.words)
 
     def level(self, k: int) -> Sharded:
-        return Sharded(self.folder, [(p, lo, n) for p, lo, n, *_ in self.levels[k - 2]])
+        return Sharded(self.folder, [(p, lo, n) for p, lo, n, *_ in self.levels[k - 2]], self.size)
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.size + 1)))
@@ -263,11 +327,11 @@ class Model:
                 if s >= 0:
                     at = np.flatnonzero((which == s) & (context <= shards[s][4]))
                     out[at] = _decoded(opened.arrays(int(s))["backoff"][context[at] - shards[s][3]])
-            if self.fixed[k - 2]:
-                cut = np.array(sorted(self.fixed[k - 2]), np.int64)
+            cut, weight = self.fixed[k - 2]
+            if len(cut):
                 place = np.minimum(np.searchsorted(cut, context), len(cut) - 1)
                 at = np.flatnonzero(cut[place] == context)
-                out[at] = np.array([self.fixed[k - 2][c] for c in cut.tolist()])[place[at]]
+                out[at] = weight[place[at]]
         return out
 
 
@@ -289,11 +353,6 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, first[1:], END), first + np.arange(len(first))
 
 
-def numbered(vocabulary: Sharded, h: np.ndarray) -> np.ndarray:
-    distinct, at = np.unique(h, return_inverse=True)
-    return vocabulary.find(distinct)[at]
-
-
 def _delta(values: np.ndarray) -> bytes:
     """Ascending integers: differences, byte planes, zstd."""
     d = np.diff(values, prepend=_U(0))
@@ -349,13 +408,14 @@ def train(docs: DataFrame, order: int = ORDER, text_col: str = "text") -> Model:
         if len(keys):
             part = TaskContext.get().partitionId()
             counts = np.concatenate([b.column(1).to_numpy() for b in parts])
-            path = save(folder, f"words-{part:07d}", _keys_arrays(keys) | {"counts": counts})
+            path = save(folder, f"words-{part:07d}", _keys_arrays(keys) | {"counts": counts, "mass": np.cumsum(counts)})
             yield pa.RecordBatch.from_pylist([{"part": part, "path": path, "first": str(int(keys[0])), "n": len(keys), "total": int(counts.sum())}])
 
     counted = given.mapInArrow(words, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
     made = tk.cut(counted.repartitionByRange("h").sortWithinPartitions("h").mapInArrow(write_words, "part bigint, path string, first string, n bigint, total bigint"), "words")
     rows = sorted(made.collect(), key=lambda r: r.part)  # one row per shard
     model = Model(folder, [(r.path, int(r.first), r.n) for r in rows], sum(r.total for r in rows))
+    model.word_masses = [r.total for r in rows]
     for k in range(2, order + 1):
         _add_level(given, model, k, k < order)
     return model
@@ -371,7 +431,7 @@ class Walk:
     def __call__(self, data: np.ndarray, off: np.ndarray):
         """(word numbers, first token of each document, per level k the node number of the k-gram that ends at each token or -1)."""
         h, first = tokens(data, off)
-        word = numbered(self.vocabulary, h ^ _U(1 << 63))
+        word = self.vocabulary.find(h ^ _U(1 << 63))
         start = np.zeros(len(word), bool)
         start[first[:-1]] = True
         nodes = [word]
@@ -401,14 +461,20 @@ class Walk:
         return counts, p
 
 
+def tokens_before(nodes: Sharded, masses: list[int], node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens the nodes before each one have, and how many up to it (masses: of each shard)."""
+    distinct, back = np.unique(node, return_inverse=True)
+    upto = nodes.values("mass", distinct, 0)
+    which = np.searchsorted(nodes.base, distinct, "right") - 1
+    before = np.where(distinct > nodes.base[which], nodes.values("mass", np.maximum(distinct - 1, 0), 0), 0)
+    started = np.concatenate([[0], np.cumsum(masses)])[which]
+    return (started + before)[back], (started + upto)[back]
+
+
 def dealt(contexts: Sharded, masses: list[int], context: np.ndarray, share: np.ndarray, ranges: int) -> np.ndarray:
-    """The range of each n-gram by the tokens of the contexts before its own (masses: of each shard) and, within its context, the share of tokens before its word."""
-    node = np.maximum(context, 0)
-    upto = contexts.values("mass", node, 0)
-    which = np.searchsorted(contexts.base, node, "right") - 1
-    before = np.where(node > contexts.base[which], contexts.values("mass", np.maximum(node - 1, 0), 0), 0)
-    started = np.concatenate([[0], np.cumsum(masses)])
-    return np.floor((started[which] + before + (upto - before) * share) * (ranges / max(1, int(started[-1])))).astype(np.int64)
+    """The range of each n-gram by the tokens of the contexts before its own and, within its context, the share of tokens before its word."""
+    before, upto = tokens_before(contexts, masses, context)
+    return np.floor((before + (upto - before) * share) * (ranges / max(1, sum(masses)))).astype(np.int64)
 
 
 def _add_level(given: DataFrame, model: Model, k: int, above: bool) -> None:
@@ -416,23 +482,15 @@ def _add_level(given: DataFrame, model: Model, k: int, above: bool) -> None:
     spark, folder, size = given.sparkSession, model.folder, model.size
     ranges = max(1, -(-model.total // RANGE_TOKENS))
 
-    def mass(vocabulary: Sharded) -> np.ndarray:
-        """The share of tokens before each word."""
-        counts = np.concatenate([vocabulary.arrays(i)["counts"] for i in range(len(vocabulary.paths))])
-        return np.concatenate([[0], np.cumsum(counts)]) / max(1, model.total)
-
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walk, held, n = Walk(model), [], 0
-        before = mass(walk.vocabulary) if len(walk.vocabulary.paths) else None
+        contexts, masses = (walk.vocabulary, model.word_masses) if k == 2 else (walk.levels[-1], model.masses[k - 3])
 
         def out():
             keys, counts, lower = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
             context, word = (keys // _U(size)).astype(np.int64), (keys % _U(size)).astype(np.int64)
             # by expected mass, so that a frequent context is cut by its words
-            if k == 2:
-                at = np.floor(ranges * (before[context] + (before[context + 1] - before[context]) * before[word])).astype(np.int64)
-            else:
-                at = dealt(walk.levels[-1], model.masses[k - 3], context, before[word], ranges)
+            at = dealt(contexts, masses, context, tokens_before(walk.vocabulary, model.word_masses, word)[0] / max(1, model.total), ranges)
             at = np.minimum(at, ranges - 1)
             cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
             rows = [(int(at[a]), _delta(keys[a:b]), _zip(counts[a:b].astype(np.uint32)), _zip(lower[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -470,7 +528,7 @@ def _add_level(given: DataFrame, model: Model, k: int, above: bool) -> None:
             backoff[own - lo] = _coded(np.log10(weight))
             mass = {"mass": np.cumsum(counts).astype(np.uint32 if counts.sum() < 1 << 32 else np.uint64)} if above else {}
             heads = slice(None) if len(cuts) == 1 else np.flatnonzero((each == 0) | (each == len(cuts) - 1))
-            path = save(folder, f"level{k}-{at:07d}", _keys_arrays(keys) | mass | {"prob": _coded(np.log10(p)), "backoff": backoff, "counts": counts[heads].astype(np.uint32), "lower": lower[heads]})  # for mend: those of the first and last context
+            path = save(folder, f"level{k}-{at:07d}", level_arrays(context, (keys % _U(size)).astype(np.int64), size) | mass | {"prob": _coded(np.log10(p)), "backoff": backoff, "counts": counts[heads].astype(np.uint32), "lower": lower[heads]})  # for mend: those of the first and last context
             ends = [(int(own[i]), int(total[i]), int(kinds[i])) for i in sorted({0, len(own) - 1})]
             return {"at": at, "path": path, "first": str(int(keys[0])), "n": len(keys), "lo": lo, "hi": hi, "total": int(counts.sum()), "ends": str(ends)}
 
@@ -505,13 +563,12 @@ def _add_level(given: DataFrame, model: Model, k: int, above: bool) -> None:
             for batch in batches:
                 for i in batch.column(0).to_pylist():
                     path, first, n, lo, hi = shards[i]
-                    a = load(folder, path)
+                    a, _ = load(folder, path)
                     prob = a["prob"].copy()
                     heads = []
                     for c in sorted({lo, hi}):
                         if c in split:
-                            edge = np.array([c * size, (c + 1) * size], np.uint64)
-                            s, e = _place(a, edge)
+                            s, e = (int(x[0]) for x in successors(a, np.array([c])))
                             head = slice(e - s) if c == lo else slice(len(a["lower"]) - (e - s), None)
                             counts, lower = a["counts"][head].astype(np.float64), a["lower"][head]
                             total, kinds = split[c]
@@ -529,27 +586,8 @@ def _add_level(given: DataFrame, model: Model, k: int, above: bool) -> None:
             shards[r.i] = (r.path, *shards[r.i][1:])
     model.levels.append(shards)
     model.masses.append([r.total for r in rows])
-    model.fixed.append({c: float(np.log10(DISCOUNT * kinds / total)) for c, (total, kinds) in split.items()})
-
-
-def _place(a: dict[str, np.ndarray], edges: np.ndarray) -> tuple[int, int]:
-    """Places of the first integers that are not less than the edges."""
-    n, base, bits, ef, last = (int(x) for x in a["meta"])
-    pointers = Pointers(a["high"], a["before"], a["low"], ef)
-    out = []
-    for x in edges:
-        if int(x) <= base:
-            out.append(0)
-            continue
-        rest = int(x) - base
-        if rest >> bits > last:
-            out.append(n)
-            continue
-        bucket = np.array([rest >> bits], np.int64)
-        lo, hi = int(pointers[bucket][0]), int(pointers[bucket + 1][0])
-        inside = unpack(a["rest"], np.arange(lo, hi), bits)
-        out.append(lo + int(np.searchsorted(inside, _U(rest & ((1 << bits) - 1)))))
-    return out[0], out[1]
+    cut = np.array(sorted(split), np.int64)
+    model.fixed.append((cut, np.array([np.log10(DISCOUNT * split[c][1] / split[c][0]) for c in cut.tolist()])))
 
 
 # -- scoring ------------------------------------------------------------------------------------------------

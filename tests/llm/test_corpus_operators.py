@@ -182,6 +182,18 @@ def test_elias_fano():
     assert (ngramlm.unpack(packed, np.arange(3000), 20) == values).all() and packed.nbytes < 3000 * 20 / 8 + 32
 
 
+def test_successors_by_context():
+    """Context-relative search against a plain dictionary: uneven words, wide and empty contexts."""
+    rng = np.random.default_rng(9)
+    for words, n in ((5, 12), (1000, 4000), (10**6, 3000)):
+        word = np.where(rng.random(n) < 0.5, rng.integers(0, words, n), rng.integers(0, max(1, words // 100), n))
+        key = np.unique(rng.choice([7, 8, 12, 500, 501], n) * words + word)
+        a = ngramlm.level_arrays(key // words, key % words, words)
+        place = {k: i for i, k in enumerate(key.tolist())}
+        asked = np.unique(np.concatenate([key, rng.integers(5 * words, 505 * words, 3000)]))
+        assert ngramlm.successor(a, asked // words, asked % words).tolist() == [place.get(k, -1) for k in asked.tolist()]
+
+
 def named(letter, n):
     return [letter + chr(97 + i // 26) + chr(97 + i % 26) for i in range(n)]
 
