@@ -89,32 +89,47 @@ class Pointers:
         n, most = len(values), int(values[-1]) if len(values) else 0
         bits = max(0, int(math.log2(most / n))) if n and most > n else 0
         at = (values >> _U(bits)).astype(np.int64) + np.arange(n)
-        size = -(-(int(at[-1]) + 1 if n else 1) // 512) * 512
-        raw = np.zeros(size, np.uint8)
+        raw = np.zeros(-(-(int(at[-1]) + 1 if n else 1) // 64) * 64, np.uint8)
         raw[at] = 1
         high = np.packbits(raw, bitorder="little").view(np.uint64)
-        ones = np.bitwise_count(high).reshape(-1, 8).sum(1, dtype=np.uint64)
-        before = np.concatenate([[0], np.cumsum(ones)[:-1]]).astype(np.uint64)  # ones before each 512 bits
+        before = np.cumsum(np.bitwise_count(high), dtype=np.uint64)
+        before = np.concatenate([[0], before[:-1]]).astype(np.uint32 if n < 1 << 32 else np.uint64)  # ones before each word
         return high, before, pack(values & _U((1 << bits) - 1), bits) if bits else np.zeros(1, np.uint64), bits
 
-    def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        block = np.searchsorted(self.before, i.astype(np.uint64), "right") - 1
-        rest = i.astype(np.int64) - self.before[block].astype(np.int64)
-        words = np.asarray(self.high).reshape(-1, 8)[block]
-        total = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
+    def _select(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The word of each i-th one, and its bit there: by the directory, then by bytes."""
+        word = np.searchsorted(self.before, i.astype(self.before.dtype), "right") - 1
+        rest = (i - self.before[word].astype(np.int64)).astype(np.uint8)
+        octets = np.asarray(self.high)[word][:, None].view(np.uint8)
+        total = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.uint8)
         which = (total <= rest[:, None]).sum(1)
         row = np.arange(len(i))
-        rest -= np.where(which > 0, total[row, np.maximum(which - 1, 0)], 0)
-        word = words[row, which]
-        bit = np.zeros(len(i), np.int64)
-        for half in (32, 16, 8, 4, 2, 1):  # select within the word by halves
-            ones = np.bitwise_count(word & _U((1 << half) - 1)).astype(np.int64)
-            far = ones <= rest
-            rest -= np.where(far, ones, 0)
-            bit += np.where(far, half, 0)
-            word = np.where(far, word >> _U(half), word)
-        select = block * 512 + which * 64 + bit
-        return (((select - i).astype(np.uint64) << _U(self.bits)) | unpack(self.low, i, self.bits)).astype(np.int64)
+        rest = rest - np.where(which > 0, total[row, np.maximum(which - 1, 0)], 0).astype(np.uint8)
+        return word, which * 8 + _SELECT[octets[row, which], rest]
+
+    def _value(self, i: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return (((place - i).astype(np.uint64) << _U(self.bits)) | unpack(self.low, i, self.bits)).astype(np.int64)
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        i = i.astype(np.int64)
+        word, bit = self._select(i)
+        return self._value(i, word * 64 + bit)
+
+    def ranges(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The i-th numbers and those after them: mostly the next one of the same word."""
+        i = i.astype(np.int64)
+        word, bit = self._select(i)
+        rest = np.asarray(self.high)[word] & ~((_U(2) << bit.astype(np.uint64)) - _U(1))  # bits above
+        place = word * 64 + np.bitwise_count((rest & -rest) - _U(1)).astype(np.int64)
+        far = np.flatnonzero(rest == 0)
+        if len(far):
+            w, b = self._select(i[far] + 1)
+            place[far] = w * 64 + b
+        return self._value(i, word * 64 + bit), self._value(i + 1, place)
+
+
+#: The place of the n-th one of a byte.
+_SELECT = np.array([([b for b in range(8) if x >> b & 1] + [0] * 8)[:8] for x in range(256)], np.int64)
 
 
 def _keys_arrays(keys: np.ndarray) -> dict[str, np.ndarray]:
@@ -139,8 +154,7 @@ def find(a: dict[str, np.ndarray], wanted: np.ndarray) -> np.ndarray:
     if not len(at):
         return out
     rest, bucket = rest[at] & _U((1 << bits) - 1), bucket[at].astype(np.int64)
-    pointers = Pointers(a["high"], a["before"], a["low"], ef)
-    lo, hi = pointers[bucket], pointers[bucket + 1]
+    lo, hi = Pointers(a["high"], a["before"], a["low"], ef).ranges(bucket)
     while len(at):  # binary search in all buckets at once; those that are done leave
         open_ = lo < hi
         at, rest, lo, hi = at[open_], rest[open_], lo[open_], hi[open_]
@@ -168,8 +182,8 @@ def successors(a: dict[str, np.ndarray], context: np.ndarray) -> tuple[np.ndarra
     pointers = Pointers(a["high"], a["before"], a["low"], int(a["meta"][4]))
     new = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])[: len(context)])
     each = np.diff(np.append(new, len(context)))
-    rel = context[new] - int(a["meta"][1])
-    return np.repeat(pointers[rel], each), np.repeat(pointers[rel + 1], each)
+    lo, hi = pointers.ranges(context[new] - int(a["meta"][1]))
+    return np.repeat(lo, each), np.repeat(hi, each)
 
 
 def successor(a: dict[str, np.ndarray], context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -183,10 +197,9 @@ def successor(a: dict[str, np.ndarray], context: np.ndarray, word: np.ndarray) -
     word = word[at]
     left, right = np.full(len(at), -1, np.int64), np.full(len(at), words, np.int64)  # the words that stand before lo and at hi
     step = 0
-    while len(at):  # those that are done leave
-        going = lo < hi
-        if not going.all():
-            at, word, lo, hi, left, right = (x[going] for x in (at, word, lo, hi, left, right))
+    going = np.flatnonzero(lo < hi)
+    while len(going):  # those that are done leave
+        at, word, lo, hi, left, right = (x[going] for x in (at, word, lo, hi, left, right))
         if step % 4 == 3:  # unevenly spread words: by halves now and then
             middle = (lo + hi) >> 1
         else:
@@ -197,8 +210,7 @@ def successor(a: dict[str, np.ndarray], context: np.ndarray, word: np.ndarray) -
         less = value < word
         lo, left = np.where(less, middle + 1, lo), np.where(less, value, left)
         hi, right = np.where(less, hi, middle), np.where(less, right, value)
-        if hit.any():
-            at, word, lo, hi, left, right = (x[~hit] for x in (at, word, lo, hi, left, right))
+        going = np.flatnonzero(~hit & (lo < hi))
         step += 1
     return out
 
