@@ -28,15 +28,17 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
 
 
 def _write_text(spark: SparkSession, path: str, value: str) -> None:
-    """Writes a small file whole: a temporary name, then a rename."""
+    """Writes a small file whole: a temporary name, then a rename that takes the old one's place, so that readers always see one of the two."""
     fs, p = _fs(spark, path)
-    temporary = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    temporary = hadoop.Path(f"{path}.{uuid.uuid4().hex}.tmp")
     out = fs.create(temporary, True)
     out.write(bytearray(value.encode()))
     out.close()
-    fs.delete(p, False)
-    if not fs.rename(temporary, p):
-        raise RuntimeError(f"could not move {temporary} to {path}")
+    overwrite = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    overwrite[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    context = hadoop.FileContext.getFileContext(fs.getUri(), fs.getConf())
+    context.rename(fs.makeQualified(temporary), fs.makeQualified(p), overwrite)
 
 
 def save(root: str, tables: dict[str, DataFrame], meta: dict | None = None, swap: bool = True) -> str:
@@ -82,9 +84,9 @@ def meta(spark: SparkSession, root: str) -> dict:
     return json.loads(_read_text(spark, f"{root}/{current(spark, root)}/meta.json") or "{}")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "book_id") -> DataFrame:
-    """The new rows, and the old ones of books that have no new rows."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True).select(*new.columns)
+def upsert(old: DataFrame, new: DataFrame, key: str | list[str] = "book_id") -> DataFrame:
+    """The new rows, and the old ones of books (or other keys) that have no new rows."""
+    return old.join(new.select(*([key] if isinstance(key, str) else key)).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True).select(*new.columns)
 
 
 def nodes_from_json(lines: DataFrame, column: str = "value") -> DataFrame:

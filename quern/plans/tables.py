@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below spark.checkpoint.dir; a local one only where the session names none (as in tests)."""
+    """A new folder below spark.checkpoint.dir; a local one only where the session names none and runs on this machine alone (as in tests)."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quern-")
         sc.setCheckpointDir(root)
     return f"{root.rstrip('/')}/quern-{purpose}-{uuid.uuid4().hex}"

@@ -7,21 +7,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from quern.operators import store, tree
+from quern.plans.tables import written
 
 
 def ingest(pages: DataFrame, root: str, checkpoint: str, size: int = 1200, overlap: int = 180) -> DataStreamWriter:
-    """A writer that replaces the books of each micro-batch in the index below ``root``.
+    """A writer that brings the pages of each micro-batch into the index below ``root``.
 
-    Upserts by book are idempotent, so a batch that is replayed changes nothing.
+    The index keeps the pages beside the nodes: a page replaces the one of its book and number, and the books of a
+    batch are built again from all their pages, so a book may arrive in several batches.  Both steps are idempotent: a
+    batch that is replayed changes nothing.  Of pages repeated within a batch any one counts; null texts count as
+    empty pages.
     """
+    columns = ["book_id", "title", "page_num", "text", "image_ids", "ocr_texts"]
 
     def replace(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         if batch.isEmpty():
             return
-        new = tree.build(batch.select("book_id", "page_num", "text", "image_ids", "ocr_texts"), batch.groupBy("book_id").agg(F.min("title").alias("title")), size=size, overlap=overlap)
+        arrived = written(batch.select(*columns).dropDuplicates(["book_id", "page_num"]), "arrived")
+        known = store.is_complete(spark, root, ("pages",))
+        kept = store.upsert(store.load(spark, root, "pages"), arrived, ["book_id", "page_num"]) if known else arrived
+        touched = kept.join(arrived.select("book_id").distinct(), "book_id", "left_semi")
+        new = tree.build(touched.drop("title"), touched.groupBy("book_id").agg(F.min("title").alias("title")), size=size, overlap=overlap)
         nodes = store.upsert(store.load(spark, root, "nodes"), new) if store.current(spark, root) else new
-        store.save(root, {"nodes": nodes})
+        store.save(root, {"pages": kept, "nodes": nodes})
 
     return pages.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint)
 
