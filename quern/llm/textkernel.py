@@ -167,12 +167,14 @@ ALNUM_TABLE = bytes(int(LOWER[b]) if ALNUM_WORD[b] else 0x20 for b in range(256)
 
 
 def shared_folder(spark, purpose: str) -> str:
-    """A new folder (URI) below the checkpoint folder that the cluster names; a local one is set only where none is (as in tests)."""
+    """A new folder (URI) below the checkpoint folder that the cluster names; a local one is set only where none is and Spark runs on this machine alone (as in tests)."""
     import tempfile
 
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quern-")
         sc.setCheckpointDir(root)
     if sc.getCheckpointDir() is None:
