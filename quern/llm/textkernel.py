@@ -202,7 +202,7 @@ def small(df, rows: int = BROADCAST_ROWS):
     return F.broadcast(df) if df.count() <= rows else df
 
 
-HOT_KEYS = 20_000
+HOT_KEYS = 4_000
 
 
 def spread_join(rows, table, key: str, copies: str):
