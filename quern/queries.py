@@ -193,7 +193,8 @@ def hash_embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select event_id, event_type, round(case when max(value) over w - min(value) over w < 1e-9 then 0 else (value - min(value) over w) / (max(value) over w - min(value) over w) end, 6) as scaled from events window w as (partition by event_type)")
 def minmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", "event_type", F.round(V.minmax(F.col("value"), "event_type"), 6).alias("scaled"))
+    scaled = rank.minmax(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), "event_type", {"scaled": "value"})
+    return scaled.select("event_id", "event_type", F.round("scaled", 6).alias("scaled"))
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,6 +308,13 @@ def upsert_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upsert(old, d.where((F.col("doc_id") % 3 == 1) & (F.col("source") != "src0")).withColumn("v", F.lit("new")), "source")
 
 
+@query("select doc_id, source, case when source <> 'src0' then 'new' else 'old' end as v from documents")
+def upsert_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as old books, all but one source of them anew: rows of the one source, and of none, stay old."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return store.upsert(d.withColumn("v", F.lit("old")), d.where(F.col("source") != "src0").withColumn("v", F.lit("new")), "source")
+
+
 _ANSWERS = [
     ('["first part", "second part"]', ["first part", "second part"]), ('{"chunks": [{"text": "one of them"}, {"content": "two of them"}, "three"]}', ["one of them", "two of them", "three"]),
     ('Sure!\n```json\n{"segments": ["fenced text"]}\n```', ["fenced text"]), ('noise ["inside noise"] more', ["inside noise"]), ("1. numbered one\n2) numbered two\n- bulleted", ["numbered one", "numbered two", "bulleted"]), ("nothing here", []),

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from quern import queries
+from quern.operators import rank
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -22,3 +23,12 @@ def test_against_sql(spark, name):
     assert columns == sorted(b.columns)
     rows = lambda d: sorted(map(tuple, d[columns].astype(str).values.tolist()))
     assert rows(a) == rows(b)
+
+
+def test_minmax_groups(spark):
+    """Null groups, null values and equal values."""
+    rows = [("a", 1.0), ("a", 3.0), ("a", None), ("b", 2.0), (None, 5.0), (None, 7.0)]
+    got = rank.minmax(spark.createDataFrame(rows, "g string, x double"), "g", {"s": "x"}).collect()
+    key = lambda r: tuple(str(v) for v in r)
+    assert sorted(map(tuple, got), key=key) == sorted([("a", 1.0, 0.0), ("a", 3.0, 1.0), ("a", None, None), ("b", 2.0, 0.0), (None, 5.0, 0.0), (None, 7.0, 1.0)], key=key)
+    assert rank.minmax(spark.createDataFrame([], "g string, x double"), "g", {"s": "x"}).count() == 0
