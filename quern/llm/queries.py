@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import decontaminate, jaccard, licenses, mixing, ngramlm, pii, quality, secrets, sstable, wrapper
+from quern.llm import collocations, decontaminate, jaccard, licenses, mixing, ngramlm, pii, quality, secrets, simhash, sstable, vectorcode, wrapper
 
 QUERIES = {
     "op1_html_extraction": wrapper.query,
@@ -15,5 +15,14 @@ QUERIES = {
     "op8_token_shards": sstable.query,
     "op9_ngram_lm": ngramlm.query,
     "op10_secret_scan": secrets.query,
+    "op11_collocations": collocations.query,
+    "op12_simhash": simhash.query,
+    "op13_vector_codes": vectorcode.query,
+}
+ORACLE = {
+    "op2_ngram_jaccard": jaccard.ORACLE,
+    "op4_decontaminate": decontaminate.ORACLE,
+    "op7_quality_rules": quality.ORACLE,
+    "op11_collocations": collocations.ORACLE,
+    "op13_vector_codes": vectorcode.ORACLE,
 }
-ORACLE = {"op2_ngram_jaccard": jaccard.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op7_quality_rules": quality.ORACLE}
