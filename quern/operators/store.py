@@ -20,14 +20,14 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _read_text(spark: SparkSession, path: str) -> str | None:
+def read_text(spark: SparkSession, path: str) -> str | None:
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         return None
     return spark.read.option("wholetext", True).text(path).first()[0]
 
 
-def _write_text(spark: SparkSession, path: str, value: str) -> None:
+def write_text(spark: SparkSession, path: str, value: str) -> None:
     """Writes a small file whole: a temporary name, then a rename that takes the old one's place, so that readers always see one of the two."""
     fs, p = _fs(spark, path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
@@ -41,6 +41,16 @@ def _write_text(spark: SparkSession, path: str, value: str) -> None:
     context.rename(fs.makeQualified(temporary), fs.makeQualified(p), overwrite)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none where there is no folder."""
+    fs, p = _fs(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def node_columns() -> list[str]:
+    return [f.strip().split(" ")[0] for f in NODES.split(", ")]
+
+
 def save(root: str, tables: dict[str, DataFrame], meta: dict | None = None, swap: bool = True) -> str:
     """Writes a new version below ``root``; readers see it once the pointer moves (not without ``swap``).  Older versions stay as backups."""
     spark = next(iter(tables.values())).sparkSession
@@ -49,18 +59,18 @@ def save(root: str, tables: dict[str, DataFrame], meta: dict | None = None, swap
     for name, df in tables.items():
         df.write.parquet(f"{root}/{version}/{name}")
         counts[f"num_{name}"] = spark.read.parquet(f"{root}/{version}/{name}").count()
-    _write_text(spark, f"{root}/{version}/meta.json", json.dumps((meta or {}) | counts))
+    write_text(spark, f"{root}/{version}/meta.json", json.dumps((meta or {}) | counts))
     if swap:
         activate(spark, root, version)
     return version
 
 
 def activate(spark: SparkSession, root: str, version: str) -> None:
-    _write_text(spark, f"{root}/CURRENT", version)
+    write_text(spark, f"{root}/CURRENT", version)
 
 
 def current(spark: SparkSession, root: str) -> str | None:
-    return _read_text(spark, f"{root}/CURRENT")
+    return read_text(spark, f"{root}/CURRENT")
 
 
 def is_complete(spark: SparkSession, root: str, tables: tuple[str, ...] = TABLES) -> bool:
@@ -74,14 +84,22 @@ def is_complete(spark: SparkSession, root: str, tables: tuple[str, ...] = TABLES
 
 
 def load(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """A table of the current version: nodes, pages, vectors (node_id, vector) or postings of an index in segments, or what ``save`` was given."""
     version = current(spark, root)
     if version is None:
         raise RuntimeError("no index has been stored")
-    return spark.read.parquet(f"{root}/{version}/{table}")
+    if read_text(spark, f"{root}/{version}/segments.json") is None:
+        return spark.read.parquet(f"{root}/{version}/{table}")
+    from quern.operators.bookindex import BookIndex
+
+    index = BookIndex(spark, root)
+    if table == "vectors":
+        return index.tables.read("nodes").where("vector is not null").select("node_id", "vector")
+    return index.nodes if table == "nodes" else index.tables.read(table).drop("bucket")
 
 
 def meta(spark: SparkSession, root: str) -> dict:
-    return json.loads(_read_text(spark, f"{root}/{current(spark, root)}/meta.json") or "{}")
+    return json.loads(read_text(spark, f"{root}/{current(spark, root)}/meta.json") or "{}")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str | list[str] = "book_id") -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quern.config import Settings
 from quern.functions import vectors as V
-from quern.operators import datasets, rank, store, tree
+from quern.operators import datasets, rank, store
+from quern.operators.bookindex import BookIndex
 from quern.plans.tables import written
 
 EMBEDDERS = {"blake2b": V.hash_embedding}
@@ -38,21 +39,40 @@ def reranker(name: str):
 
 
 class Retrieval:
+    """Ingest and search over the index stored below ``root``; a query sees what the last batch has left."""
+
     def __init__(self, spark: SparkSession, settings: Settings, root: str, embed: str = "blake2b"):
-        self.spark, self.settings, self.root, self.embed = spark, settings, root, embedder(embed)
+        self.spark, self.settings, self.root, self.name, self.embed = spark, settings, root, embed, embedder(embed)
+
+    def index(self) -> BookIndex:
+        return BookIndex(self.spark, self.root, self.embed, size=self.settings.chunk_size, overlap=self.settings.chunk_overlap)
 
-    def _nodes(self) -> DataFrame:
-        if not store.current(self.spark, self.root):
+    def _ready(self) -> BookIndex:
+        index = self.index()
+        if not index.exists:
             raise RuntimeError("no index has been built")
-        return store.load(self.spark, self.root, "nodes")
+        if (built := store.meta(self.spark, self.root).get("embedder", self.name)) != self.name:
+            raise RuntimeError(f"the index was built with the embedder {built!r}")
+        return index
 
     def ingest(self, books: DataFrame, pages: DataFrame, images: DataFrame | None = None) -> dict:
-        """Replaces the given books; the others stay as they are."""
-        new = written(tree.build(pages, books, images, self.settings.chunk_size, self.settings.chunk_overlap), "ingest")
-        nodes = store.upsert(self._nodes(), new) if store.current(self.spark, self.root) else new
-        version = store.save(self.root, {"nodes": nodes})
-        n = new.agg(F.count("*").alias("n"), F.countDistinct("book_id").alias("books")).first()
-        return {"status": "ok", "version": version, "books": n.books, "book_nodes": n.n, "total_nodes": store.meta(self.spark, self.root)["num_nodes"]}
+        """Replaces the given books; the others stay as they are, and so do their files."""
+        index = self._ready() if store.current(self.spark, self.root) else self.index()
+        return {"status": "ok"} | index.upsert(books, pages, images, about={"embedder": self.name})
+
+    def rebuild(self, books: DataFrame, pages: DataFrame, images: DataFrame | None = None) -> dict:
+        """The index of these books alone: they are brought in, then all others are taken out."""
+        out = self.ingest(books, pages, images)
+        index = self.index()
+        others = index.tables.read("books").select("book_id").join(books.select("book_id"), "book_id", "left_anti")
+        if not others.isEmpty():
+            index.remove(others)
+        return out | {"total_nodes": index.tables.totals["nodes"], "indexable_nodes": index.tables.totals["indexable"]}
+
+    def remove(self, books: DataFrame) -> dict:
+        index = self._ready()
+        index.remove(books)
+        return {"status": "ok", "total_nodes": index.tables.totals["nodes"], "indexable_nodes": index.tables.totals["indexable"]}
 
     def query(self, queries: DataFrame, top_k: int = 8, branch_factor: int = 4, rerank_by: str = "none", model=None) -> DataFrame:
         """(query_id, answer, reading_pages) of (query_id, query)."""
@@ -61,7 +81,7 @@ class Retrieval:
         if not queries.where(F.trim(F.coalesce("query", F.lit(""))) == "").isEmpty():
             raise ValueError("a question is empty")
         scorer = reranker(rerank_by)
-        hits = rank.retrieve(rank.HybridIndex(self._nodes(), self.embed), queries, top_k, branch_factor)
+        hits = rank.retrieve(self._ready(), queries, top_k, branch_factor)
         if scorer:
             hits = rank.rerank(hits.join(queries, "query_id"), scorer(F.col("query"), F.concat_ws("\n", "path", "text"))).drop("query")
         return rank.answers(written(hits, "hits"), queries, model)
@@ -69,7 +89,7 @@ class Retrieval:
     def health(self) -> dict:
         ready = store.is_complete(self.spark, self.root, ("nodes",))
         meta = store.meta(self.spark, self.root) if ready else {}
-        return {"status": "ok" if ready else "not ready", "index_ready": ready, "total_nodes": meta.get("num_nodes", 0)}
+        return {"status": "ok" if ready else "not ready", "index_ready": ready, "total_nodes": meta.get("num_nodes", 0), "indexable_nodes": meta.get("num_indexable", 0)}
 
 
 class Synthesis:

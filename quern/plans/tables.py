@@ -25,3 +25,13 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     path = folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+BROADCAST_ROWS = 1_000_000
+
+
+def few(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The (narrow) table marked for broadcast if it has at most BROADCAST_ROWS rows (counted, unless the number is known); else as it is."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df

@@ -12,7 +12,8 @@ from quern.functions import text as T
 from quern.functions import vectors as V
 from quern.operators import datasets, imaging, rank, store, tree
 from quern.operators.bm25 import Bm25
-from quern.plans.tables import written
+from quern.operators.bookindex import BookIndex
+from quern.plans.tables import folder, written
 from quern.sources.pages import document_pages
 
 QUERIES: dict = {}
@@ -241,6 +242,17 @@ def node_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.descendants(_places(spark, sf_dir)).select("ancestor_id", "node_id", "distance")
 
 
+@query("""with recursive o as (select o_orderkey as k, lag(o_orderkey) over (partition by o_custkey order by o_orderkey) as p from orders),
+t as (select k, p as a, 1 as d from o where p is not null union all select t.k, o.p, d + 1 from t join o on t.a = o.k where o.p is not null)
+select a::varchar as ancestor_id, k::varchar as node_id, d::int as distance from t""")
+def order_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deep tree: each order hangs below its customer's order before it; all orders above all orders."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("p"))
+    text = lambda c: F.col(c).cast("string")
+    nodes = o.select(text("o_orderkey").alias("node_id"), text("p").alias("parent_id"), F.lit("order").alias("level"), text("o_orderkey").alias("title"))
+    return tree.descendants(nodes).select("ancestor_id", "node_id", "distance")
+
+
 def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.build(*reversed(document_pages(table(spark, sf_dir, "documents"))))
 
@@ -265,6 +277,18 @@ def tree_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir).select("query_id", "place", "node_id", "level", F.round("score", 6).alias("score"), "path")
 
 
+@query()
+def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best ten nodes for each benchmark text, from an index that is stored in two batches (one source of documents comes later) and whose postings and vectors are read back."""
+    d = table(spark, sf_dir, "documents")
+    index = BookIndex(spark, folder(spark, "stored"), buckets=16)
+    for batch in (d.where("source is distinct from 'src0'"), d.where("source = 'src0'")):
+        index.upsert(*document_pages(batch))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"))
+    best = rank.top_k(index.sparse(asked), 10, score="sparse_raw", tie="node_id")
+    return best.select("query_id", "node_id", F.round("sparse_raw", 6).alias("score"), "rank")
+
+
 @query()
 def tree_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
@@ -300,12 +324,12 @@ def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- store, responses, images ------------------------------------------------------------------------------
 
 
-@query("""with o as (select doc_id, source, 'old' as v from documents where doc_id % 3 <> 1), n as (select doc_id, source, 'new' as v from documents where doc_id % 3 = 1 and source <> 'src0')
-select * from n union all select * from o where source not in (select source from n)""")
+@query("select doc_id, source, case when source <> 'src0' and lang <> 'en' then 'new' else 'old' end as v from documents")
 def upsert_books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    old = d.where(F.col("doc_id") % 3 != 1).withColumn("v", F.lit("old"))
-    return store.upsert(old, d.where((F.col("doc_id") % 3 == 1) & (F.col("source") != "src0")).withColumn("v", F.lit("new")), "source")
+    """All documents as old books, by source and language; those of one source, and of one language, do not come anew and stay old, as do those without either."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    new = d.where((F.col("source") != "src0") & (F.col("lang") != "en"))
+    return store.upsert(d.withColumn("v", F.lit("old")), new.withColumn("v", F.lit("new")), ["source", "lang"]).drop("lang")
 
 
 @query("select doc_id, source, case when source <> 'src0' then 'new' else 'old' end as v from documents")

@@ -6,31 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from quern.operators import store, tree
+from quern.functions import vectors as V
+from quern.operators.bookindex import BookIndex
+from quern.operators.segments import BUCKETS
 from quern.plans.tables import written
 
 
-def ingest(pages: DataFrame, root: str, checkpoint: str, size: int = 1200, overlap: int = 180) -> DataStreamWriter:
+def ingest(pages: DataFrame, root: str, checkpoint: str, size: int = 1200, overlap: int = 180, embed=V.hash_embedding, buckets: int = BUCKETS) -> DataStreamWriter:
     """A writer that brings the pages of each micro-batch into the index below ``root``.
 
     The index keeps the pages beside the nodes: a page replaces the one of its book and number, and the books of a
-    batch are built again from all their pages, so a book may arrive in several batches.  Both steps are idempotent: a
-    batch that is replayed changes nothing.  Of pages repeated within a batch any one counts; null texts count as
-    empty pages.
+    batch are built again from all their pages, so a book may arrive in several batches.  A batch reads the buckets
+    of its books and writes its books alone.  The index remembers the last batch of each checkpoint: one that is
+    replayed changes and writes nothing.  Of pages repeated within a batch any one counts; null texts count as empty
+    pages; a book's title is the least of its pages'.
     """
     columns = ["book_id", "title", "page_num", "text", "image_ids", "ocr_texts"]
 
-    def replace(batch: DataFrame, _: int) -> None:
+    def replace(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if batch.isEmpty():
+        index = BookIndex(spark, root, embed, buckets, size, overlap)
+        streams = index.tables.manifest["about"].get("streams", {})
+        if number <= streams.get(checkpoint, -1) or batch.isEmpty():
             return
         arrived = written(batch.select(*columns).dropDuplicates(["book_id", "page_num"]), "arrived")
-        known = store.is_complete(spark, root, ("pages",))
-        kept = store.upsert(store.load(spark, root, "pages"), arrived, ["book_id", "page_num"]) if known else arrived
-        touched = kept.join(arrived.select("book_id").distinct(), "book_id", "left_semi")
-        new = tree.build(touched.drop("title"), touched.groupBy("book_id").agg(F.min("title").alias("title")), size=size, overlap=overlap)
-        nodes = store.upsert(store.load(spark, root, "nodes"), new) if store.current(spark, root) else new
-        store.save(root, {"pages": kept, "nodes": nodes})
+        books = arrived.select("book_id").distinct()
+        known = index.tables.before("pages", books).select(*columns)
+        kept = written(known.join(arrived.select("book_id", "page_num"), ["book_id", "page_num"], "left_anti").unionByName(arrived), "kept")
+        index.upsert(kept.groupBy("book_id").agg(F.min("title").alias("title")), kept, about={"streams": streams | {checkpoint: number}})
 
     return pages.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint)
 
