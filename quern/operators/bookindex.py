@@ -11,14 +11,14 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions import vectors as V
 from quern.operators import store, tree
 from quern.operators.bm25 import EPSILON, gain, raw_idf
-from quern.operators.rank import INDEXED, HybridIndex, index_text
+from quern.operators.rank import INDEXED, PLACES, HybridIndex, index_text, top_k
 from quern.operators.segments import BUCKETS, MOST_SEGMENTS, Segments, bucket
 from quern.plans.tables import few, written
 
@@ -29,6 +29,7 @@ TABLES = {
     "terms": "term string, change bigint",
 }
 SUMS = ("nodes", "indexable", "length")
+SEEDS = 4  # postings for each of the k best that give a query's first bound
 PUSHED_TERMS = 1000  # up to so many query terms reach the scan of the postings
 
 
@@ -125,7 +126,8 @@ class BookIndex(HybridIndex):
             self._sparse = (queries, written(self._scores(queries), "sparse"))
         return self._sparse[1]
 
-    def _scores(self, queries: DataFrame) -> DataFrame:
+    def _wanted(self, queries: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+        """(query_id, term, weight, df) of the queries' terms, the postings of these terms, and the mean length."""
         n, length = self.tables.totals["indexable"], self.tables.totals["length"]
         asked = written(queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")), "asked")
         terms = asked.select("term").distinct()
@@ -133,8 +135,59 @@ class BookIndex(HybridIndex):
         narrow = (lambda rows: rows.where(F.col("term").isin(pushed))) if len(pushed) <= PUSHED_TERMS else (lambda rows: rows.join(few(terms), "term", "left_semi"))
         df = narrow(self.tables.raw("terms")).groupBy("term").agg(F.sum("change").alias("df")).where("df > 0")
         raw = raw_idf(float(n), F.col("df"))
-        idf = df.select("term", F.when(raw < 0, F.lit(EPSILON * self._mean_idf())).otherwise(raw).alias("idf"))
-        wanted = written(asked.join(idf, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight")), "wanted")
-        found = narrow(self.tables.read("postings"))
-        scored = found.select("node_id", "term", gain(F.col("tf").cast("double"), F.col("dl").cast("double"), length / n if n else 0.0).alias("gain"))
-        return scored.join(few(wanted), "term").groupBy("query_id", "node_id").agg(F.sum(F.col("gain") * F.col("weight")).alias("sparse_raw"))
+        idf = df.select("term", "df", F.when(raw < 0, F.lit(EPSILON * self._mean_idf())).otherwise(raw).alias("idf"))
+        wanted = written(asked.join(idf, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"), "df"), "wanted")
+        return wanted, narrow(self.tables.read("postings")), length / n if n else 0.0
+
+    def _scores(self, queries: DataFrame) -> DataFrame:
+        wanted, found, mean = self._wanted(queries)
+        scored = found.select("node_id", "term", _gain("tf", "dl", mean).alias("gain"))
+        return scored.join(few(wanted.drop("df")), "term").groupBy("query_id", "node_id").agg(F.sum(F.col("gain") * F.col("weight")).alias("sparse_raw"))
+
+    def sparse_top_k(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """(query_id, node_id, score, rank): the k best nodes by BM25 alone, without scoring those that cannot be among them.
+
+        A query's rare terms give a first score that its k-th best node reaches
+        at least.  In each bucket the terms whose highest possible gains do not
+        add up to it are left aside: nodes that have only these are never paired
+        with the query, and of the others only those are completed that can still
+        reach it.  So the postings of common terms meet few candidates.  Rows are
+        those of all scores, ranked; ties by node_id.  Queries with a negative
+        weight (only in corpora where most terms are in most nodes) are not pruned.
+        """
+        pairs, _ = self._candidates(queries, k)
+        return top_k(pairs, k, tie="node_id").select("query_id", "node_id", "score", "rank")
+
+    def _candidates(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+        """Complete scores of the nodes that can be among the k best, and each query's bound."""
+        wanted, found, mean = self._wanted(queries)
+        postings = written(found.select("term", "node_id", "bucket", "tf", "dl"), "asked-postings")
+        gains = postings.select("term", "node_id", "bucket", _gain("tf", "dl", mean).alias("gain"))
+        scored = lambda terms, by: gains.join(terms, by).groupBy("query_id", "node_id", "bucket").agg(F.sum(F.col("gain") * F.col("weight")).alias("score"))
+
+        # the terms with the fewest postings until there are enough of them
+        rare = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+        seeds = wanted.withColumn("before", F.coalesce(F.sum("df").over(rare), F.lit(0))).where(F.col("before") < SEEDS * k)
+        best = top_k(scored(few(seeds.select("query_id", "term", "weight")), "term"), k, tie="node_id")
+        bound = best.where(F.col("rank") == k).select("query_id", (F.col("score") - 2.0 * 10**-PLACES).alias("bound"))
+        negative = wanted.groupBy("query_id").agg(F.min("weight").alias("least")).where("least < 0").select("query_id")
+        bound = written(bound.join(negative, "query_id", "left_anti"), "bounds")
+
+        # in each bucket: the most that each term can add, and whether it and all smaller ones stay below the bound
+        peaks = postings.groupBy("term", "bucket").agg(F.max("tf").alias("tf"), F.min("dl").alias("dl"))
+        most = peaks.join(few(wanted), "term").select("query_id", "bucket", "term", "weight", (F.col("weight") * _gain("tf", "dl", mean)).alias("most"))
+        up = Window.partitionBy("query_id", "bucket").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        most = most.withColumn("upto", F.sum("most").over(up)).join(few(bound), "query_id", "left")
+        most = written(most.withColumn("aside", F.coalesce(F.col("upto") < F.col("bound"), F.lit(False))), "terms")
+        aside = most.where("aside")
+        rest = aside.groupBy("query_id", "bucket").agg(F.sum("most").alias("rest"))
+        first = scored(few(most.where("not aside").select("query_id", "bucket", "term", "weight")), ["term", "bucket"])
+        first = first.join(few(rest), ["query_id", "bucket"], "left").join(few(bound), "query_id", "left")
+        first = written(first.where(F.col("bound").isNull() | (F.col("score") + F.coalesce("rest", F.lit(0.0)) >= F.col("bound"))).select("query_id", "node_id", "bucket", "score"), "candidates")
+        asides = gains.join(few(aside.select("query_id", "bucket", "term", "weight")), ["term", "bucket"]).join(few(first.select("query_id", "node_id")), ["query_id", "node_id"], "left_semi")
+        more = asides.select("query_id", "node_id", (F.col("gain") * F.col("weight")).alias("score"))
+        return first.select("query_id", "node_id", "score").unionByName(more).groupBy("query_id", "node_id").agg(F.sum("score").alias("score")), bound
+
+
+def _gain(tf: str, dl: str, mean: float):
+    return gain(F.col(tf).cast("double"), F.col(dl).cast("double"), mean)

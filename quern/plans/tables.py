@@ -27,6 +27,12 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """The rows of a table's scan over all cores, where its files have fewer parts than there are cores: for work that is heavy for each row.  A large table has more parts, and stays as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 BROADCAST_ROWS = 1_000_000
 
 

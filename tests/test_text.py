@@ -68,3 +68,25 @@ def test_chat_messages_and_placeholders(spark):
     assert [x for (x,) in values(spark, raw, R.message(F.col("s")))] == ["hi", "a\nb", "", ""]
     df = spark.createDataFrame([(["chunk text 1", "abc"],), (["a real passage of text"],), ([],)], "c array<string>")
     assert [x for (x,) in df.select(R.is_placeholder(F.col("c"))).collect()] == [True, False, True]
+
+
+def test_long_texts_take_linear_time(spark):
+    """Four times the text, well under four times four the time: states of the folds hold no texts."""
+    import time
+
+
+    def took(text, f):
+        rows = spark.createDataFrame([(text,)], "text string").cache()
+        rows.count()
+        best = []
+        for _ in range(2):
+            began = time.time()
+            rows.select(f(F.col("text")).alias("c")).write.format("noop").mode("overwrite").save()
+            best.append(time.time() - began)
+        return min(best)
+
+    for line in ("Some words stand here in a line that ends well.\n", "some words without a stop "):
+        f = C.semantic_chunks
+        assert took(line * 40_000, f) < 8 * took(line * 10_000, f)
+    chunks = spark.createDataFrame([("x y " * 30_000,)], "text string").select(C.split_text(F.col("text"), 100, 20).alias("c")).first().c
+    assert max(map(len, chunks)) <= 121 and {w for c in chunks for w in c.split()} == {"x", "y"} and sum(c.count("x") for c in chunks) >= 30_000
