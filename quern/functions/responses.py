@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions.chunks import covers, let, semantic_chunks, source_windows, split_text
+from quern.plans.tables import written
 
 # Keys and patterns of the answers that are understood.
 LIST_KEYS = ["chunks", "segments", "items", "data"]
@@ -102,3 +103,26 @@ def model_chunks(text: Column, title: Column, ask: list, size: int = 1200, overl
 
     clean = T.collapse(text)
     return F.when(F.length(clean) == 0, F.array().cast("array<string>")).when(F.length(clean) <= size, F.array(clean)).when(F.length(clean) < SLACK * size, semantic_chunks(text, size, overlap)).otherwise(F.flatten(F.transform(source_windows(text, WINDOW), window)))
+
+
+def chunk_rows(rows: DataFrame, ask: list, size: int = 1200, overlap: int = 180) -> DataFrame:
+    """(node_id, chunks) of rows (node_id, title, text): ``model_chunks`` for functions that call out from Python, which no expression over array elements can.
+
+    Each window is a row; only windows whose answers were refused are asked
+    again, and answers are written before they are looked at, so that none is
+    asked for twice.
+    """
+    given = rows.select("node_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"), F.length(T.collapse(F.coalesce("text", F.lit("")))).alias("n"))
+    asking = F.col("n") >= SLACK * size
+    plain = F.when(F.col("n") == 0, F.array().cast("array<string>")).when(F.col("n") <= size, F.array(T.collapse(F.col("text")))).otherwise(semantic_chunks(F.col("text"), size, overlap))
+    done = given.where(~asking).select("node_id", F.lit(0).alias("k"), plain.alias("chunks"))
+    open_ = written(given.where(asking).select("node_id", "title", F.posexplode(source_windows(F.col("text"), WINDOW)).alias("k", "window"), F.lit(None).cast("string").alias("raw")), "windows")
+    for i, f in enumerate(ask):
+        first = i == 0 or i < len(ask) - 1
+        prompt = segment_prompt(F.col("window"), F.col("title"), size) if first else repair_prompt(F.col("window"), F.coalesce("raw", F.lit("")), size)
+        answered = written(open_.withColumn("raw", f(prompt)), "answers")
+        taken = written(answered.withColumn("chunks", accepted(F.col("window"), F.coalesce(F.nullif(message(F.col("raw")), F.lit("")), F.col("raw")), size, overlap)), "taken")
+        done = done.unionByName(taken.where("chunks is not null").select("node_id", "k", "chunks"))
+        open_ = taken.where("chunks is null").drop("chunks")
+    done = done.unionByName(open_.select("node_id", "k", semantic_chunks(F.col("window"), size, overlap).alias("chunks")))
+    return done.groupBy("node_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "chunks"))), lambda x: x.chunks)).alias("chunks"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.config import Settings
+from quern.functions import responses
 from quern.functions import vectors as V
 from quern.operators import datasets, rank, store
 from quern.operators.bookindex import BookIndex
 from quern.plans.tables import written
+from quern.sources import endpoints
 
 EMBEDDERS = {"blake2b": V.hash_embedding}
 RERANKERS = {"none": None, "off": None, "passthrough": None}
@@ -25,11 +29,45 @@ def embedder(name: str):
     """A registered embedder (text column -> ARRAY<FLOAT>); models are added to EMBEDDERS."""
     if not (name or "").strip() or name == "hash":
         raise ValueError("an embedder has to be named")
+    if name.startswith("ollama:"):
+        model = name.split(":", 1)[1].removeprefix("//").strip()
+        if not model:
+            raise ValueError("the embedder's model has to be named")
+        return endpoints.embedder(endpoints.Endpoint(os.environ.get("RAG_OLLAMA_ENDPOINT", "http://127.0.0.1:11434"), model, timeout=240))
     if name not in EMBEDDERS:
         raise RuntimeError(f"embedder {name!r} is not registered")
     return EMBEDDERS[name]
 
 
+def segmenter(settings: Settings):
+    """What cuts sections into chunks: a model (``llm``: rows -> rows, asked twice, then a mending call) or the rules (``rules``: None)."""
+    mode = (settings.segmenter_mode or "").strip().lower()
+    if mode == "rules":
+        return None
+    if mode not in SEGMENTERS:
+        raise ValueError(f"segmenter mode {settings.segmenter_mode!r} is not known")
+    if not settings.segmenter_endpoint or not settings.segmenter_model:
+        raise ValueError("the segmenter needs an endpoint and a model")
+    return SEGMENTERS[mode](settings)
+
+
+def _by_model(settings: Settings):
+    ask = endpoints.chat(endpoints.Endpoint(settings.segmenter_endpoint, settings.segmenter_model, settings.segmenter_api_key, timeout=180))
+    return lambda rows: responses.chunk_rows(rows, [ask, ask, ask], settings.chunk_size, settings.chunk_overlap)
+
+
+SEGMENTERS = {"llm": _by_model}
+
+
+def answerer(settings: Settings):
+    """(query, context) columns -> answer text, or None where no endpoint is set."""
+    if not settings.answer_endpoint:
+        return None
+    ask = endpoints.chat(endpoints.Endpoint(settings.answer_endpoint, settings.answer_model, settings.answer_api_key, timeout=90))
+    prompt = lambda query, context: F.concat(F.lit("Answer the question from the passages alone; name their pages.\nQuestion: "), query, F.lit("\n\n"), F.coalesce(context, F.lit("")))
+    return lambda query, context: responses.message(ask(prompt(query, context)))
+
+
 def reranker(name: str):
     if not (name or "").strip():
         raise ValueError("a reranker has to be named")
@@ -39,13 +77,17 @@ def reranker(name: str):
 
 
 class Retrieval:
-    """Ingest and search over the index stored below ``root``; a query sees what the last batch has left."""
+    """Ingest and search over the index stored below ``root``; a query sees what the last batch has left.
+
+    Sections are cut by the settings' segmenter where an endpoint is set, else by the rules.
+    """
 
     def __init__(self, spark: SparkSession, settings: Settings, root: str, embed: str = "blake2b"):
         self.spark, self.settings, self.root, self.name, self.embed = spark, settings, root, embed, embedder(embed)
 
     def index(self) -> BookIndex:
-        return BookIndex(self.spark, self.root, self.embed, size=self.settings.chunk_size, overlap=self.settings.chunk_overlap)
+        segment = segmenter(self.settings) if self.settings.segmenter_endpoint else None
+        return BookIndex(self.spark, self.root, self.embed, size=self.settings.chunk_size, overlap=self.settings.chunk_overlap, segment_rows=segment)
 
     def _ready(self) -> BookIndex:
         index = self.index()
@@ -84,7 +126,7 @@ class Retrieval:
         hits = rank.retrieve(self._ready(), queries, top_k, branch_factor)
         if scorer:
             hits = rank.rerank(hits.join(queries, "query_id"), scorer(F.col("query"), F.concat_ws("\n", "path", "text"))).drop("query")
-        return rank.answers(written(hits, "hits"), queries, model)
+        return rank.answers(written(hits, "hits"), queries, model or answerer(self.settings))
 
     def health(self) -> dict:
         ready = store.is_complete(self.spark, self.root, ("nodes",))
