@@ -34,10 +34,11 @@ PUSHED_TERMS = 1000  # up to so many query terms reach the scan of the postings
 
 
 class BookIndex(HybridIndex):
-    """The index stored below ``root``.  ``indexed`` and ``scored`` read the version that was current when it was opened or last changed."""
+    """The index stored below ``root``; size, overlap and the segments are those of ``tree.build``.  ``indexed`` and ``scored`` read the version that was current when it was opened or last changed."""
 
-    def __init__(self, spark: SparkSession, root: str, embed=V.hash_embedding, buckets: int = BUCKETS, size: int = 1200, overlap: int = 180, segment_rows=None):
-        self.spark, self.root, self.embed, self.size, self.overlap, self.segment_rows = spark, root, embed, size, overlap, segment_rows
+    def __init__(self, spark: SparkSession, root: str, embed=V.hash_embedding, buckets: int = BUCKETS, size: int = 1200, overlap: int = 180, segment=None, segment_rows=None):
+        self.spark, self.root, self.embed = spark, root, embed
+        self.cut = {"size": size, "overlap": overlap, "segment": segment, "segment_rows": segment_rows}
         self.tables = Segments(spark, root, TABLES, {"terms": "term"}, SUMS, buckets)
         self._sparse, self._mean = None, None
 
@@ -60,7 +61,7 @@ class BookIndex(HybridIndex):
         """
         books = written(books.select("book_id", "title"), "batch-books")
         pages = written(pages.join(books.withColumnRenamed("title", "book_title"), "book_id").withColumn("title", F.col("book_title")).select(*self._columns("pages")), "batch-pages")
-        nodes = tree.with_context(written(tree.build(pages.drop("title"), books, images, self.size, self.overlap, segment_rows=self.segment_rows), "batch-nodes"))
+        nodes = tree.with_context(written(tree.build(pages.drop("title"), books, images, **self.cut), "batch-nodes"))
         wanted = F.col("level").isin(INDEXED)
         nodes = written(nodes.withColumn("vector", F.when(wanted, self.embed(F.when(wanted, index_text())))), "batch-vectors")
         postings = written(self._postings(nodes), "batch-postings")
