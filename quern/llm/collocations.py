@@ -210,7 +210,7 @@ def _frequent_pairs(given: DataFrame, least: int, buckets: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(mask.view(np.int64))], ["word", "mask"])
 
     rows = given.select("lang", "piece", "times").mapInArrow(emitted, "bucket int, pairs binary, counts binary")
-    marks = rows.repartition(buckets, "bucket").mapInArrow(counted, "word int, mask bigint")
+    marks = rows.repartitionById(buckets, "bucket").mapInArrow(counted, "word int, mask bigint")
     out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     found = tk.cut(marks, "collocation-pairs").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # of fixed size
     out[found.column("word").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
@@ -267,7 +267,7 @@ def phrases(given: DataFrame, pairs: np.ndarray, least: int, buckets: int, most_
             yield from counter.frequent(least)
 
     rows = given.select("lang", "piece", "times").mapInArrow(emitted, "bucket int, lang string, phrase string, words int, n bigint")
-    return rows.repartition(buckets, "bucket").mapInArrow(counted, "lang string, phrase string, words int, f bigint")
+    return rows.repartitionById(buckets, "bucket").mapInArrow(counted, "lang string, phrase string, words int, f bigint")
 
 
 def _part(words: Column, start: Column, length: Column) -> Column:
