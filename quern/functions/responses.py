@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
@@ -84,6 +84,16 @@ def accepted(text: Column, raw: Column, size: int, overlap: int) -> Column:
     return let(found, lambda c: F.when((F.size(c) > 0) & ~is_placeholder(c) & covers(text, c, overlap), bounded_chunks(c, size, overlap)))
 
 
+ANALYZER_ROUNDS = 400
+
+
+def _allow_deep_plans() -> None:
+    """Folds within folds over windows need more rounds of the analyzer than a session has by default: one for each level."""
+    spark, key = SparkSession.getActiveSession(), "spark.sql.analyzer.maxIterations"
+    if spark is not None and int(spark.conf.get(key)) < ANALYZER_ROUNDS:
+        spark.conf.set(key, str(ANALYZER_ROUNDS))
+
+
 def model_chunks(text: Column, title: Column, ask: list, size: int = 1200, overlap: int = 180) -> Column:
     """Chunks of a text by a model.
 
@@ -101,6 +111,7 @@ def model_chunks(text: Column, title: Column, ask: list, size: int = 1200, overl
             tries.append(accepted(w, before, size, overlap))
         return F.coalesce(*tries, semantic_chunks(w, size, overlap))
 
+    _allow_deep_plans()
     clean = T.collapse(text)
     return F.when(F.length(clean) == 0, F.array().cast("array<string>")).when(F.length(clean) <= size, F.array(clean)).when(F.length(clean) < SLACK * size, semantic_chunks(text, size, overlap)).otherwise(F.flatten(F.transform(source_windows(text, WINDOW), window)))
 
