@@ -16,8 +16,10 @@ not read.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import ahocorasick
 import numpy as np
@@ -86,12 +88,14 @@ def searcher(notices: list[tuple[str, str]] = NOTICES) -> Callable[[str], list[t
             for i, at in of:
                 notice = notices[i][1]
                 e = errors_of(notice)
-                lo, hi = begin - at - e, begin - at + len(notice) + e
-                while lo > 0 and text[lo - 1] != " ":  # whole words at both ends
-                    lo -= 1
-                lo, hi = max(0, lo), min(len(text), hi)
-                while hi < len(text) and text[hi] != " ":
-                    hi += 1
+                lo, hi = max(0, begin - at - e), min(len(text), begin - at + len(notice) + e)
+                # whole words at both ends; no match that holds the seed reaches further than a notice's length into one
+                far = len(notice) + 2 * e
+                if lo and text[lo - 1] != " ":
+                    lo = text.rfind(" ", max(0, lo - far), lo) + 1 or max(0, lo - far)
+                if hi < len(text) and text[hi] != " ":
+                    cut = text.find(" ", hi, hi + far)
+                    hi = cut if cut >= 0 else min(len(text), hi + far)
                 # seeds of one place share a window; places further apart keep their own, so none hides another
                 if windows[i] and lo <= windows[i][-1][1] and hi - windows[i][-1][0] <= 2 * len(notice):
                     windows[i][-1][0], windows[i][-1][1] = min(lo, windows[i][-1][0]), max(hi, windows[i][-1][1])
@@ -105,16 +109,34 @@ def searcher(notices: list[tuple[str, str]] = NOTICES) -> Callable[[str], list[t
                 if hi > lo and (m := patterns[i].search(text, lo, hi)) and m.end() > m.start():  # the best of the window; what lies beside it may hold others
                     out[label, m.start(), m.end()] = max(out.get((label, m.start(), m.end()), 0), 1 - sum(m.fuzzy_counts) / len(notice))
                     places += [[lo, m.start()], [m.end(), hi]]
-        # where notices overlap, those that fit best stay
-        best: list[tuple[str, int, int, float]] = []
-        for (label, s, e), x in sorted(out.items(), key=lambda y: (-y[1], y[0])):
-            if all(e <= b[1] or s >= b[2] or x == b[3] for b in best):
-                best.append((label, s, e, x))
-        return sorted(best)
+        return sorted(fitting((label, s, e, x) for (label, s, e), x in out.items()))
 
     return search
 
 
+def fitting(found: Iterable[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+    """Where notices overlap, those that fit best (all that fit alike): each similarity, from the best down, keeps what lies beside the places that better ones hold."""
+    best: list[tuple[str, int, int, float]] = []
+    starts: list[int] = []  # the places held so far, apart from each other and in order
+    ends: list[int] = []
+    for _, alike in groupby(sorted(found, key=lambda y: -y[3]), key=lambda y: y[3]):
+        kept = []
+        for y in alike:
+            k = bisect_left(starts, y[2]) - 1  # the last place that starts before this one ends
+            if k < 0 or ends[k] <= y[1]:
+                kept.append(y)
+        best += kept
+        places = sorted([*zip(starts, ends, strict=True), *((y[1], y[2]) for y in kept)])
+        starts, ends = [], []
+        for s, e in places:
+            if ends and s < ends[-1]:
+                ends[-1] = max(e, ends[-1])
+            else:
+                starts.append(s)
+                ends.append(e)
+    return best
+
+
 _PHRASES = [(phrase.encode().split(), label) for phrase, label in BASE.items()]
 SCHEMA = "id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, notices array<struct<label:string,first_word:bigint,last_word:bigint,similarity:double>>"
 
@@ -149,7 +171,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notice
                             base[int(doc[w])].append((int(w - first[doc[w]]), label))
                 for d in range(len(off) - 1):
                     text = b" ".join(tk.normalised(data[off[d] : off[d + 1]].tobytes(), tk.ALNUM_TABLE)).decode()
-                    found = [(label, text.count(" ", 0, s), text.count(" ", 0, e), x) for label, s, e, x in search(text)]
+                    found = search(text)
+                    if found:
+                        spaces = np.flatnonzero(np.array([*map(ord, text)], np.uint32) == 32) if not text.isascii() else np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 32)
+                        found = [(label, *map(int, np.searchsorted(spaces, (s, e))), x) for label, s, e, x in found]
                     own = base.get(d, [])
                     at = [w for w, _ in own]
                     rows.append({
