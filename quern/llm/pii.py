@@ -233,6 +233,10 @@ def _marked(row: str) -> tuple[np.ndarray, list[tuple[str, int, int]]]:
     return np.frombuffer((text + row[at:]).encode(), np.uint8), spans
 
 
+#: Weights are multiples of this, so that sums of them over any text are exact in 64 bits and do not depend on their order.
+EXACT = 2.0**-20
+
+
 @lru_cache(1)
 def trained() -> tuple[np.ndarray, np.ndarray]:
     """(weights by offset, shape and label; transitions): penalised likelihood of the labelled table, all rows as one padded batch."""
@@ -289,15 +293,66 @@ def trained() -> tuple[np.ndarray, np.ndarray]:
         step_t += grad_t**2
         weight += RATE * grad_w / np.sqrt(step_w)
         transition += RATE * grad_t / np.sqrt(step_t)
+    weight, transition = np.round(weight / EXACT) * EXACT, np.round(transition / EXACT) * EXACT
     return weight, np.where(ALLOWED, transition, NEVER)
 
 
+LONG_RUN = 1024
+
+
+def _blockwise(e: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """The best labels of one long run, all of its blocks step by step at once.
+
+    A block's best scores from each label before it to each label at its end give, one block after the other, the true
+    scores that enter each block; the usual steps within blocks start from those.  Scores are exact sums (EXACT), so the
+    labels are those of the plain way, ties included."""
+    n, labels = e.shape
+    size = 1 << max(3, int(np.log2(n)) // 2 + 1)
+    blocks = -(-n // size)
+    padded = np.full((blocks * size, labels), NEVER, e.dtype)
+    padded[:n], padded[n:, 0] = e, 0.0  # outside follows the run
+    at = padded.reshape(blocks, size, labels)
+    through = transition[None] + at[:, 0, None, :]
+    for i in range(1, size):
+        through = (through[:, :, :, None] + transition).max(2) + at[:, i, None, :]
+    score = np.full((blocks, labels), -np.inf)
+    score[0, 0] = 0.0
+    for k in range(1, blocks):
+        score[k] = (score[k - 1, :, None] + through[k - 1]).max(0)
+    back = np.empty((size, blocks, labels), np.int8)
+    for i in range(size):
+        every = score[:, :, None] + transition
+        back[i] = every.argmax(1)
+        score = every.max(1) + at[:, i]
+    rows = np.arange(blocks)
+    origin = np.tile(np.arange(labels), (blocks, 1))  # of a block's last label: the label before the block
+    for i in range(size - 1, -1, -1):
+        origin = back[i][rows[:, None], origin]
+    label = np.empty(blocks, np.int64)
+    label[-1] = (score[-1] + transition[:, 0]).argmax()
+    for k in range(blocks - 1, 0, -1):
+        label[k - 1] = origin[k, label[k]]
+    out = np.empty((blocks, size), np.int64)
+    for i in range(size - 1, -1, -1):
+        out[:, i] = label
+        label = back[i][rows, label]
+    return out.ravel()[:n]
+
+
 def viterbi(emission: np.ndarray, begin: np.ndarray, size: np.ndarray, transition: np.ndarray) -> np.ndarray:
-    """The best labels of many runs of tokens (outside stands before and after each): all runs step by step, the longest first, so that those that have ended cost nothing."""
+    """The best labels of many runs of tokens (outside stands before and after each): all short runs step by step, the longest first, so that those that have ended cost nothing; long ones by blocks."""
+    long = size > LONG_RUN
+    if long.any():
+        out = viterbi(emission, begin[~long], size[~long], transition)
+        for b, n in zip(begin[long], size[long], strict=True):
+            out[b : b + n] = _blockwise(emission[b : b + n], transition)
+        return out
+    if not len(begin):
+        return np.zeros(len(emission), np.int64)
     out = np.zeros(len(emission), np.int64)
     order = np.argsort(-size, kind="stable")
     begin, size = begin[order], size[order]
-    steps = int(size[0]) if len(size) else 0
+    steps = int(size[0])
     going = np.searchsorted(-size, -np.arange(steps), "left")  # runs longer than each step
     score = transition[0] + emission[begin]
     back: list[np.ndarray] = []

@@ -247,6 +247,29 @@ def test_viterbi_against_all_paths():
     assert tuple(pii.viterbi(e, np.array([0]), np.array([4]), t)) == best
 
 
+def test_long_runs_by_blocks_equal_the_plain_way(monkeypatch):
+    rng = np.random.default_rng(9)
+    n = len(pii.LABELS)
+    for size in (1, 2, 63, 64, 65, 500, 1500):  # whole numbers: many ties
+        e, t = rng.integers(-3, 4, (size + 9, n)).astype(float), np.where(pii.ALLOWED, rng.integers(-2, 3, (n, n)).astype(float), pii.NEVER)
+        begin, sizes = np.array([0, 4]), np.array([4, size])
+        monkeypatch.setattr(pii, "LONG_RUN", 10**9)
+        plain = pii.viterbi(e, begin, sizes, t)
+        monkeypatch.setattr(pii, "LONG_RUN", 0)
+        assert (pii.viterbi(e, begin, sizes, t) == plain).all(), size
+    monkeypatch.undo()
+    for piece in ("1.", "a.", "a@", "[at] ", "10.0.0.1,"):
+        text = piece * 3000
+        by_blocks = [*pii.find(pa.array([text]))]
+        monkeypatch.setattr(pii, "LONG_RUN", 10**9)
+        assert [*pii.find(pa.array([text]))] == by_blocks
+        monkeypatch.undo()
+    start = time.monotonic()
+    for piece in ("1.", "a.", "a@", "[at] "):
+        [*pii.find(pa.array([piece * 80_000]))]
+    assert time.monotonic() - start < 30
+
+
 MARKED = st.text(alphabet=st.one_of(st.sampled_from("AEHIJKLNRSTWYZaehjtwy .,!?'-1\n"), st.characters(min_codepoint=0x300, max_codepoint=0x36F)), max_size=30)
 
 
@@ -395,13 +418,14 @@ def test_templates_do_not_depend_on_the_dealing(spark):
     assert texts[0][1] == "Story 1\n\nWords of story 1." and texts[0][0].endswith("All rights of this site.")
 
 
-def test_copies_count_once_however_they_are_dealt(spark):
+def test_copies_count_once_however_they_are_dealt(spark, monkeypatch):
     """Eight copies and one other page are two pages, in one task and in nine; with two more, what they share is template."""
     html = lambda i: f"<body><div><h2>Story {i}</h2><p>Words of story {i}.</p><h3>Shared line.</h3></div></body>"
     for others, shared in ((1, True), (3, False)):
         rows = [(i, f"http://HOST.example/{i}", html(0 if i < 8 else i)) for i in range(8 + others)] + [(100, "http://host.example/", None), (101, None, "")]
         pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-        for n in (1, 9):
+        for n, most in ((1, 10), (9, 10), (9, 0)):
+            monkeypatch.setattr(tk, "BROADCAST_ROWS", most)
             got = {r.id: r.text for r in wrapper.extract_pages(pages.repartition(n)).collect()}
             for i in range(8 + others):
                 k = 0 if i < 8 else i
