@@ -18,7 +18,7 @@ from quern.functions import text as T
 from quern.functions import vectors as V
 from quern.operators import store, tree
 from quern.operators.bm25 import EPSILON, gain, raw_idf
-from quern.operators.rank import INDEXED, PLACES, HybridIndex, index_text, top_k
+from quern.operators.rank import INDEXED, PLACES, HybridIndex, hybrid, index_text, top_k
 from quern.operators.segments import BUCKETS, MOST_SEGMENTS, Segments, bucket
 from quern.plans.tables import few, written
 
@@ -121,6 +121,21 @@ class BookIndex(HybridIndex):
             self._mean = json.loads(kept)["mean"]
         return self._mean
 
+    def best(self, queries: DataFrame, levels: list[str], k: int, parents: DataFrame | None = None) -> DataFrame:
+        """As in HybridIndex, from the stored postings and vectors: pairs are joined, so that a query tokenises nothing but itself."""
+        every = self.indexed.where(F.col("level").isin(levels)).select("node_id", "parent_id")
+        if parents is None:
+            pairs = every.select("node_id").join(F.broadcast(queries.select("query_id")))
+        else:
+            near = written(every.join(parents.select("query_id", F.col("node_id").alias("parent_id")), "parent_id").select("query_id", "node_id"), "near")
+            alone = queries.select("query_id").join(near.select("query_id").distinct(), "query_id", "left_anti")
+            pairs = near.unionByName(every.select("node_id").join(F.broadcast(alone)).select("query_id", "node_id"))
+        return top_k(hybrid(self.scored(queries, pairs)), k, tie=("ord", "node_id")).select("query_id", "node_id", "rank", "score", "dense", "sparse", "rune_boost")
+
+    def full(self, found: DataFrame) -> DataFrame:
+        found = written(found, "found")
+        return found.join(self.tables.read("nodes").drop("bucket", "vector", "context").join(few(found.select("node_id").distinct()), "node_id", "left_semi"), "node_id")
+
     def sparse(self, queries: DataFrame) -> DataFrame:
         """BM25 of the queries from the stored postings, made once and kept for the stages that follow."""
         if self._sparse is None or self._sparse[0] is not queries:
