@@ -20,7 +20,7 @@ from quern.operators import store, tree
 from quern.operators.bm25 import EPSILON, gain, raw_idf
 from quern.operators.rank import INDEXED, PLACES, HybridIndex, hybrid, index_text, top_k
 from quern.operators.segments import BUCKETS, MOST_SEGMENTS, Segments, bucket
-from quern.plans.tables import few, written
+from quern.plans.tables import drop, few, folders, kept, scratch, written
 
 TABLES = {
     "pages": "book_id string, page_num int, title string, text string, image_ids array<string>, ocr_texts array<string>",
@@ -57,13 +57,22 @@ class BookIndex(HybridIndex):
     def upsert(self, books: DataFrame, pages: DataFrame, images: DataFrame | None = None, about: dict | None = None) -> dict:
         """Brings books (book_id, title) in, with all their pages, in place of what the index has of them; the others stay as they are.
 
-        Returns the numbers of books and nodes of this batch and of the index.
+        Returns the numbers of books and nodes of this batch and of the index.  What the batch wrote on its way is
+        deleted at the end, and the tree's tables as soon as its nodes are written.
         """
+        with scratch(self.spark):
+            return self._upsert(books, pages, images, about)
+
+    def _upsert(self, books: DataFrame, pages: DataFrame, images: DataFrame | None, about: dict | None) -> dict:
         books = written(books.select("book_id", "title"), "batch-books")
         pages = written(pages.join(books.withColumnRenamed("title", "book_title"), "book_id").withColumn("title", F.col("book_title")).select(*self._columns("pages")), "batch-pages")
-        nodes = tree.with_context(written(tree.build(pages.drop("title"), books, images, **self.cut), "batch-nodes"))
+        with scratch(self.spark):
+            made = kept(written(tree.build(pages.drop("title"), books, images, **self.cut), "batch-nodes"))
         wanted = F.col("level").isin(INDEXED)
-        nodes = written(nodes.withColumn("vector", F.when(wanted, self.embed(F.when(wanted, index_text())))), "batch-vectors")
+        with scratch(self.spark):
+            nodes = tree.with_context(made)
+            nodes = kept(written(nodes.withColumn("vector", F.when(wanted, self.embed(F.when(wanted, index_text())))), "batch-vectors"))
+        drop(self.spark, folders(made))
         postings = written(self._postings(nodes), "batch-postings")
         n_nodes = nodes.groupBy("book_id").agg(F.count("*").alias("nodes"), F.count_if(wanted).alias("indexable"))
         length = postings.groupBy("book_id").agg(F.sum("tf").alias("length"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import store
-from quern.plans.tables import few, written
+from quern.plans.tables import few, shuffles_freed, written
 
 BUCKETS = 64
 MOST_SEGMENTS = 8
@@ -161,7 +161,8 @@ class Segments:
         if "bucket" not in rows.columns:
             rows = rows.withColumn("bucket", bucket(F.col("book_id"), self.buckets))
         dealt = rows.select(*columns, "bucket").hint("rebalance", "bucket").sortWithinPartitions("bucket", columns[0])
-        dealt.write.partitionBy("bucket").parquet(f"{self.root}/{version}/{table}")
+        with shuffles_freed(self.spark):
+            dealt.write.partitionBy("bucket").parquet(f"{self.root}/{version}/{table}")
 
     def _written(self, version: str, table: str) -> list[int]:
         names = store.names(self.spark, f"{self.root}/{version}/{table}")
