@@ -460,6 +460,71 @@ def test_a_true_majority_is_template(spark):
         assert got[i] == [f"Title {i}"] + ([] if i % 5 < 3 else [f"Own line {i}"]) + ["Half line" if i % 2 else f"Other {i}", f"Text {i}"]
 
 
+def test_wide_hosts_keep_all_shapes(spark, monkeypatch):
+    """Pages of 5000 shapes, and 2000 pages with a block of their own shape each: what pages share is template all the same, however templates are sent."""
+    letters = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    end = lambda i: "<h3>Line of three.</h3>" if i in (5, 900, 1900) else ""
+    shared = "".join(f"<div class=q{letters(j)}>Line {j}</div>" for j in range(5000))
+    rows = [(i, "http://wide.example/", f"<body><h1>Title {i}</h1><div class=q{letters(i)}>Text {i}</div>{end(i)}</body>") for i in range(2000)]
+    rows += [(3000 + i, "http://long.example/", f"<body><h1>Title {i}</h1>{shared}</body>") for i in range(3)]
+    rows += [(6000 + i, f"http://h{i % 50}.example/", f"<body><h1>Title {i}</h1><h2>Shared</h2></body>") for i in range(200)] + [(6200, "http://none.example/", None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(6)
+    for most in (32_000_000, 0):
+        monkeypatch.setattr(wrapper, "BROADCAST_BYTES", most)
+        monkeypatch.setattr(wrapper, "GROUP_PAGES", 700)
+        got = {r.id: r.text for r in wrapper.extract_pages(pages).collect()}
+        assert len(got) == len(rows) and got[6200] == ""
+        assert all(got[i] == f"Title {i}\n\nText {i}" for i in range(2000))
+        assert all(got[3000 + i] == f"Title {i}" for i in range(3))
+        assert all(got[6000 + i] == f"Title {i}" for i in range(200))
+
+
+def test_wide_templates_take_time_in_proportion():
+    letters = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    took = []
+    for n in (2000, 16_000):
+        start, parts = time.process_time(), []
+        shapes = lambda n=n: (wrapper._shape(wrapper.parse(f"<body><h1>Title</h1><div><p class=q{letters(i)}>Text {i}</p><h2>{i}</h2></div><h3>x</h3></body>")) for i in range(n))
+        for shape in shapes():
+            wrapper._held(parts, shape)
+        host = wrapper.loads(wrapper.dumps(wrapper._whole(parts)))
+        nodes = list(wrapper.preorder(host))
+        assert len(nodes) >= n
+        for i, t in enumerate(nodes):
+            t.append(i)
+        counts = [[0, 0] for _ in nodes]
+        for shape in shapes():
+            wrapper.tally(shape, host, counts)
+        assert sum(c[0] for c in counts) >= 5 * n
+        took.append(time.process_time() - start)
+    assert took[1] < 24 * took[0]
+
+
+def test_trees_have_any_depth():
+    """A menu and an article far down are read as what they are, in time that grows with the page."""
+    body = "<nav><ul><li>Menu</li></ul></nav><article><h1>Title</h1><p>The text of it.</p></article><div class=sidebar><p>Side</p></div>"
+    start = time.monotonic()
+    for depth in (10, 500, 20_000):
+        for tag in ("div", "b", "section"):
+            assert wrapper.extract("<body>" + f"<{tag}>" * depth + body + f"</{tag}>" * depth + "<p>after</p></body>") == "Title\n\nThe text of it.", (tag, depth)
+    deep = lambda i: "<body>" + "<div>" * 3000 + f"<p>Own {i}</p><h2>Shared</h2><h3>{i}</h3>" + ("<h4>x</h4>" if i % 2 else "") + "</div>" * 3000 + "</body>"
+    parts = []
+    for i in range(6):
+        wrapper._held(parts, wrapper._shape(wrapper.parse(deep(i))))
+    host = wrapper.loads(wrapper.dumps(wrapper._whole(parts)))
+    nodes = list(wrapper.preorder(host))
+    for i, t in enumerate(nodes):
+        t.append(i)
+    counts = [[0, 0] for _ in nodes]
+    for i in range(6):
+        wrapper.tally(wrapper._shape(wrapper.parse(deep(i))), host, counts)
+    host = wrapper.settled(host, [i for i, (n, hits) in enumerate(counts) if n >= 3 and 2 * hits > n])
+    assert wrapper.extract(deep(1), host) == "Own 1\n\n1"
+    for odd in ("<li><ul>" + "<div>" * 5000 + "<li>" * 5000, "<p>" + "<b>" * 20_000 + "<div>" * 5000, "<div>" * 20_000 + "</x>" * 20_000, "<font>x" * 20_000):
+        wrapper.extract(odd)
+    assert time.monotonic() - start < 60
+
+
 def test_tree_matching():
     t = lambda x: wrapper._shape(wrapper.parse(x))
     a, b = t("<body><div class=x><p>1</p></div><p>2</p></body>"), t("<body><p>2</p></body>")
