@@ -12,8 +12,9 @@ in shards of bounded size, each a file that executors map into memory:
 *   the backoff weight of each context in one byte.
 
 A query reads its context's range by two selects and finds the word in it by
-interpolation (word numbers are hashes' ranks, so they are spread evenly), for a
-whole batch of queries at once and once for each distinct one.  Probabilities
+interpolation (word numbers are hashes' ranks, so they are spread evenly), for the
+tokens of many texts at once and once for each distinct n-gram, with its
+probability, so that a shard is gone to once for all of them.  Probabilities
 are those of interpolated absolute discounting; the unigram level, found by
 word hash, is the exact (c + 0.5) / (N + 0.5 (V + 1)).
 
@@ -52,9 +53,46 @@ RANGE_TOKENS = 2_000_000  # expected n-gram tokens of a shard
 OPEN_FILES, OPEN_BYTES = 512, 300_000_000  # shards that a worker keeps open
 HOLD = 2_500_000  # n-gram tokens that a task counts at once
 CHUNK = 1 << 20
+AT_ONCE = 600_000  # tokens that are looked up together: the more shards there are, the fewer of a text's n-grams lie in one
 END = tk.mix(np.array([0xE5D], np.uint64))[0]  # the end token's hash
 
 
+# -- sorting ------------------------------------------------------------------------------------------------
+
+
+def ordered(keys: np.ndarray) -> np.ndarray:
+    """An order that makes 64-bit integers ascend: they are sorted by value, which is several times faster than by place, with their places in the low bits."""
+    n = len(keys)
+    if n < 2:
+        return np.arange(n)
+    base = keys.min()
+    rest = (keys - base).astype(np.uint64)
+    room = (n - 1).bit_length()
+    lost = max(0, int(rest.max()).bit_length() + room - 64)  # low bits of the integers that find no room
+    order = (np.sort((rest >> _U(lost)) << _U(room) | np.arange(n, dtype=np.uint64)) & _U((1 << room) - 1)).astype(np.int64)
+    if lost:
+        rest = rest[order]
+        high = rest >> _U(lost)
+        same = high[1:] == high[:-1]
+        mixed = same & (rest[1:] != rest[:-1])
+        if mixed.any():  # runs of equal high bits that hold different integers
+            run = np.cumsum(np.concatenate([[0], ~same]))
+            at = np.flatnonzero(np.isin(run, run[1:][mixed], kind="table"))
+            order[at] = order[at][np.argsort(rest[at])]
+    return order
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different integers, ascending, and where each one stands among them."""
+    order = ordered(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return keys[new], back
+
+
 # -- Elias-Fano and packed integers -------------------------------------------------------------------------
 
 
@@ -283,26 +321,31 @@ class Sharded:
     def arrays(self, k: int) -> dict[str, np.ndarray]:
         return opened(self.folder, self.paths[k])
 
-    def find(self, wanted: np.ndarray) -> np.ndarray:
-        distinct, back = np.unique(wanted, return_inverse=True)  # each once, and a shard's together
-        out = np.full(len(distinct), -1, np.int64)
-        cuts = np.append(np.searchsorted(distinct, self.first), len(distinct))
+    def find(self, wanted: np.ndarray, name: str = "", default=0) -> tuple[np.ndarray, np.ndarray | None]:
+        """The global places of the wanted integers, or -1; with a name, that array's values there (else the default)."""
+        keys, back = distinct(wanted)  # each once, and a shard's together
+        out = np.full(len(keys), -1, np.int64)
+        value = np.full(len(keys), default) if name else None
+        cuts = np.append(np.searchsorted(keys, self.first), len(keys))
+        if self.words:
+            context = keys // _U(self.words)
+            word = (keys - context * _U(self.words)).astype(np.int64)
+            context = context.astype(np.int64)
         for k in np.flatnonzero(cuts[1:] > cuts[:-1]):
-            here = distinct[cuts[k] : cuts[k + 1]]
-            if self.words:
-                found = successor(self.arrays(int(k)), (here // _U(self.words)).astype(np.int64), (here % _U(self.words)).astype(np.int64))
-            else:
-                found = find(self.arrays(int(k)), here)
-            out[cuts[k] : cuts[k + 1]] = np.where(found >= 0, found + self.base[k], -1)
-        return out[back]
+            here, a = slice(cuts[k], cuts[k + 1]), self.arrays(int(k))
+            found = successor(a, context[here], word[here]) if self.words else find(a, keys[here])
+            known = np.flatnonzero(found >= 0)
+            out[cuts[k] + known] = found[known] + self.base[k]
+            if name:
+                value[cuts[k] + known] = a[name][found[known]]
+        return out[back], value[back] if name else None
 
     def values(self, name: str, at: np.ndarray, default) -> np.ndarray:
-        """An array's values at global places (-1: the default)."""
+        """An array's values at ascending global places (-1: the default)."""
         out = np.full(len(at), default)
-        order = np.argsort(at)
-        cuts = np.searchsorted(at, self.base, sorter=order)
+        cuts = np.searchsorted(at, self.base)
         for k in np.flatnonzero(cuts[1:] > cuts[:-1]):
-            here = order[cuts[k] : cuts[k + 1]]
+            here = slice(cuts[k], cuts[k + 1])
             out[here] = self.arrays(int(k))[name][at[here] - self.base[k]]
         return out
 
@@ -384,8 +427,13 @@ def _unzip(raw: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype)
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray, *others: np.ndarray):
-    order = np.argsort(keys, kind="stable")
+def runs_ordered(keys: np.ndarray) -> np.ndarray:
+    """The order of two ascending runs."""
+    return np.argsort(keys, kind="stable")
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray, *others: np.ndarray, sort=ordered):
+    order = sort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[first], np.add.reduceat(counts[order], first), *(x[order][first] for x in others)
@@ -406,7 +454,7 @@ def train(docs: DataFrame, order: int = ORDER, text_col: str = "text") -> Model:
         for batch in batches:
             for _, _, data, off in tk.chunks(batch.column(0), CHUNK):
                 k, c = np.unique(tokens(data, off)[0], return_counts=True)
-                keys, counts = _summed(np.concatenate([keys, k]), np.concatenate([counts, c])) if len(keys) else (k, c)
+                keys, counts = _summed(np.concatenate([keys, k]), np.concatenate([counts, c]), sort=runs_ordered) if len(keys) else (k, c)
                 if len(keys) > HOLD:
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["h", "c"])
                     keys, counts = keys[:0], counts[:0]
@@ -434,51 +482,60 @@ def train(docs: DataFrame, order: int = ORDER, text_col: str = "text") -> Model:
 
 
 class Walk:
-    """Node numbers of the n-grams of a chunk, level by level."""
+    """Node numbers of the n-grams of many texts, level by level, with their probabilities."""
 
     def __init__(self, model: Model):
         self.model, self.vocabulary = model, model.vocabulary()
         self.levels = [model.level(k) for k in range(2, len(model.levels) + 2)]
 
-    def __call__(self, data: np.ndarray, off: np.ndarray):
-        """(word numbers, first token of each document, per level k the node number of the k-gram that ends at each token or -1)."""
-        h, first = tokens(data, off)
-        word = self.vocabulary.find(h ^ _U(1 << 63))
+    def __call__(self, h: np.ndarray, first: np.ndarray):
+        """Of token hashes and each document's first token: (word numbers, which tokens start a document, the node number of the highest level's n-gram that ends at each token or -1, counts, log10 probability)."""
+        word, counts = self.vocabulary.find(h ^ _U(1 << 63), "counts")
         start = np.zeros(len(word), bool)
         start[first[:-1]] = True
-        nodes = [word]
-        for level in self.levels:
-            nodes.append(self.step(nodes[-1], word, start, level))
-        return word, first, start, nodes
+        node, p = word, self.model.unigram(counts)
+        for k, level in enumerate(self.levels, 2):
+            context = self.context(node, start)
+            at = np.flatnonzero((context >= 0) & (word >= 0))
+            node = np.full(len(word), -1, np.int64)
+            node[at], code = level.find(context[at].astype(np.uint64) * _U(self.model.size) + word[at].astype(np.uint64), "prob")
+            missed = np.flatnonzero((node < 0) & (context >= 0))
+            p[missed] += self.model.backoff(k, context[missed])
+            p[at] = np.where(node[at] >= 0, _decoded(code), p[at])
+        return word, start, node, counts, p
 
     def context(self, node: np.ndarray, start: np.ndarray) -> np.ndarray:
         out = np.concatenate([[-1], node[:-1]])
         out[start] = -1
         return out
 
-    def step(self, node: np.ndarray, word: np.ndarray, start: np.ndarray, level: Sharded) -> np.ndarray:
-        context = self.context(node, start)
-        at = np.flatnonzero((context >= 0) & (word >= 0))
-        out = np.full(len(word), -1, np.int64)
-        out[at] = level.find(context[at].astype(np.uint64) * _U(self.model.size) + word[at].astype(np.uint64))
-        return out
 
-    def log10(self, word: np.ndarray, start: np.ndarray, nodes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(counts, log10 probability) of each token."""
-        counts = self.vocabulary.values("counts", word, 0)
-        p = self.model.unigram(counts)
-        for k, level in enumerate(self.levels, 2):
-            context, node = self.context(nodes[k - 2], start), nodes[k - 1]
-            p = np.where(node >= 0, _decoded(level.values("prob", node, 0)), p + np.where(context >= 0, self.model.backoff(k, context), 0))
-        return counts, p
+def gathered(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[pa.Array]]]:
+    """The tokens of texts until there are AT_ONCE: hashes, each document's first token, and the rows' first column in parts."""
+    held, n = [], 0
+
+    def out():
+        base = np.cumsum([0] + [len(h) for h, _, _ in held])
+        first = np.concatenate([*(f[:-1] + k for (_, f, _), k in zip(held, base[:-1], strict=True)), base[-1:]])
+        return np.concatenate([h for h, _, _ in held]), first, [x for _, _, x in held]
+
+    for batch in batches:
+        for lo, hi, data, off in tk.chunks(batch.column(column), CHUNK):
+            held.append((*tokens(data, off), batch.column(0).slice(lo, hi - lo)))
+            n += len(held[-1][0])
+            if n >= AT_ONCE:
+                yield out()
+                held, n = [], 0
+    if held:
+        yield out()
 
 
 def tokens_before(nodes: Sharded, masses: list[int], node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many tokens the nodes before each one have, and how many up to it (masses: of each shard)."""
-    distinct, back = np.unique(node, return_inverse=True)
-    upto = nodes.values("mass", distinct, 0)
-    which = np.searchsorted(nodes.base, distinct, "right") - 1
-    before = np.where(distinct > nodes.base[which], nodes.values("mass", np.maximum(distinct - 1, 0), 0), 0)
+    each, back = distinct(node)
+    upto = nodes.values("mass", each, 0)
+    which = np.searchsorted(nodes.base, each, "right") - 1
+    before = np.where(each > nodes.base[which], nodes.values("mass", np.maximum(each - 1, 0), 0), 0)
     started = np.concatenate([[0], np.cumsum(masses)])[which]
     return (started + before)[back], (started + upto)[back]
 
@@ -508,19 +565,17 @@ def _add_level(given: DataFrame, model: Model, k: int, above: bool) -> None:
             rows = [(int(at[a]), _delta(keys[a:b]), _zip(counts[a:b].astype(np.uint32)), _zip(lower[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], ["at", "keys", "counts", "lower"])
 
-        for batch in batches:
-            for _, _, data, off in tk.chunks(batch.column(0), CHUNK):
-                word, _, start, nodes = walk(data, off)
-                context = walk.context(nodes[k - 2], start)
-                at = np.flatnonzero(context >= 0)  # words of the training texts are all known
-                if len(at):
-                    _, p = walk.log10(word, start, nodes)
-                    key = context[at].astype(np.uint64) * _U(size) + word[at].astype(np.uint64)
-                    held.append((key, np.ones(len(at), np.int64), p[at].astype(np.float16)))
-                    n += len(at)
-                    if n > HOLD:
-                        yield out()
-                        held, n = [], 0
+        for h, first, _ in gathered(batches, 0):
+            word, start, node, _, p = walk(h, first)
+            context = walk.context(node, start)
+            at = np.flatnonzero(context >= 0)  # words of the training texts are all known
+            if len(at):
+                key = context[at].astype(np.uint64) * _U(size) + word[at].astype(np.uint64)
+                held.append((key, np.ones(len(at), np.int64), p[at].astype(np.float16)))
+                n += len(at)
+                if n > HOLD:
+                    yield out()
+                    held, n = [], 0
         if held:
             yield out()
 
@@ -612,15 +667,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walk = Walk(model)
-        for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for _, _, data, off in tk.chunks(batch.column(1), CHUNK):
-                word, first, start, nodes = walk(data, off)
-                counts, p = walk.log10(word, start, nodes)
-                for column, value in zip(out, (np.diff(first), np.add.reduceat((counts > 0).astype(np.int64), first[:-1]), np.add.reduceat(model.unigram(counts), first[:-1]), np.add.reduceat(p, first[:-1])), strict=True):
-                    column.append(value)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x)) for x in out)], ["id", "n_tokens", "n_known", "base_score", "score"])
+        for h, first, ids in gathered(batches, 1):
+            _, _, _, counts, p = walk(h, first)
+            out = (np.diff(first), np.add.reduceat((counts > 0).astype(np.int64), first[:-1]), np.add.reduceat(model.unigram(counts), first[:-1]), np.add.reduceat(p, first[:-1]))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *(pa.array(x) for x in out)], ["id", "n_tokens", "n_known", "base_score", "score"])
 
     tk.modest_batches(docs)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, SCORED)

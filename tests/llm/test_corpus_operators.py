@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +169,41 @@ def test_language_model_of_nothing(spark):
     assert (model.total, r.n_tokens, r.n_known) == (0, 3, 0)
 
 
+def test_tokens_are_looked_up_together(spark, monkeypatch):
+    """A shard is searched once for the tokens of many texts, however few lie in an Arrow batch; rows don't depend on how many that are."""
+    monkeypatch.setattr(ngramlm, "RANGE_TOKENS", 300)
+    random.seed(8)
+    texts = [" ".join(random.choices([f"w{i}" for i in range(60)], k=random.randint(0, 30))) for _ in range(300)] + [None, ""]
+    docs = frame(spark, texts).coalesce(1)
+    model = ngramlm.train(docs, 3)
+    calls = []
+    kept = ngramlm.successor
+    monkeypatch.setattr(ngramlm, "successor", lambda *args: calls.append(1) or kept(*args))
+    batches = pa.Table.from_pandas(docs.toPandas()).to_batches(10)
+    number, rows = [], []
+    for most in (600_000, 100):
+        monkeypatch.setattr(ngramlm, "AT_ONCE", most)
+        calls.clear()
+        walk = ngramlm.Walk(model)
+        rows.append([])
+        for h, first, ids in ngramlm.gathered(iter(batches), batches[0].schema.get_field_index("text")):
+            _, _, _, counts, p = walk(h, first)
+            rows[-1] += zip(pa.concat_arrays(ids).to_pylist(), np.diff(first).tolist(), np.add.reduceat(p, first[:-1]).tolist(), strict=True)
+        number.append(len(calls))
+    assert number[0] <= sum(len(x) for x in model.levels) < number[1] and len(model.levels[0]) > 3
+    assert rows[0] == rows[1] and [r[0] for r in rows[0]] == list(range(len(texts)))
+
+
+def test_integers_in_order():
+    rng = np.random.default_rng(2)
+    for n, most in ((0, 5), (1, 5), (1000, 3), (5000, 2**63 - 1), (70_000, 2**60), (70_000, 2**49)):
+        keys = rng.integers(0, most, n, dtype=np.uint64)
+        for x in (keys, np.concatenate([keys // np.uint64(10**9) * np.uint64(10**9) + rng.integers(0, 3, n, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])):  # the second: few high bits, all 64 in use
+            order = ngramlm.ordered(x)
+            assert (x[order] == np.sort(x)).all() and (np.sort(order) == np.arange(len(x))).all()
+            assert all((a == b).all() for a, b in zip(ngramlm.distinct(x), np.unique(x, return_inverse=True), strict=True))
+
+
 def test_elias_fano():
     rng = np.random.default_rng(6)
     for n, u in ((1, 10), (70, 100), (5000, 2**40), (3000, 2**63)):
