@@ -60,7 +60,8 @@ def components(edges: DataFrame, purpose: str) -> DataFrame:
 
     def fresh(rows, state):
         path = tk.shared_folder(spark, purpose)
-        rows.write.parquet(path)
+        with tk.shuffles_freed(spark):
+            rows.write.parquet(path)
         out = spark.read.schema("u bigint, v bigint").parquet(path)
         found = out.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         return out, (found.n, found.h), (found.n, found.h) == state

@@ -16,13 +16,19 @@ row), columns are n-grams.  The whole product is never made:
     what two of their sets share.  In longer columns rows are only chained, by
     size, so a pair that meets in one is never lost and never expanded.  A
     column so gives at most SHORT / 2 rows for each of its entries, whatever
-    its length.  What remains joins bundles to families.
+    its length.  What remains joins bundles to families.  Chains may join
+    what no link joins: where families so get too wide for their products,
+    the n-grams of long columns go behind all others and the step is done
+    again (a sketch of fixed size tells common ones apart less and less the
+    more texts there are).
 3.  Families are cut into blocks by size class and hash.  Only block pairs of
     the same or neighbouring size classes can hold links; each such pair is
     one product, accumulated over column chunks, whose entries below the bound
-    100 o >= 75 (a + b - o) are dropped.  What leaves a block pair is a forest
-    with the links' components and each row's number of links, at most two
-    rows per document.
+    100 o >= 75 (a + b - o) are dropped.  Texts come to the products in rounds,
+    so that the shuffle stays in proportion to the families' texts, however
+    often each is wanted.  What leaves a block pair is a forest with the
+    links' components and each row's number of links, at most two rows per
+    document.
 4.  Components of the forests, distributed.
 
 Exact copies are never expanded.  Defined results: null and empty texts (and
@@ -58,6 +64,10 @@ SHORT = 16
 FILTER_BITS = 26  # at most 2**20 broadcast rows
 SURE = 1 << 40  # the count of a chained pair
 PLACED_BYTES = 16_000_000  # of members and their block pairs that are broadcast
+WIDE = 2  # families are too wide where products want each of their n-grams more often than this
+TRIES = 3  # orders of the columns
+LATE = 2_000_000  # n-grams of long columns that an order knows
+ROUND_GRAMS = 50_000_000  # a round of products takes so many n-grams at least
 
 
 def shared_at_least(size):
@@ -168,6 +178,34 @@ def _classified(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str
     seen = tk.cut(profile(docs, n, id_col, text_col), "jaccard-sets")
     rows = seen.where("part is null").select("id", "text_hash", "n_grams", "key", "bundle")
     order = spark.sparkContext.broadcast(np.minimum(_added(seen.where("part is not null").select("part", "task", "counts")), 65535).astype(np.uint16))
+    classes = rows.where("key is not null").groupBy("key").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.max("n_grams").alias("n_grams"), F.min("id").alias("least"), F.count("*").alias("copies"), F.max("bundle").alias("bundle"))
+    classes = tk.cut(classes, "jaccard-sets-once")
+    late, placed = np.zeros(0, np.uint64), None
+    for left in reversed(range(TRIES)):
+        met = tk.cut(_met(docs, n, percent, text_col, order, late), "jaccard-met")
+        now = _placed(met, classes)
+        if placed is not None and now[1] >= placed[1]:  # families are as wide as the texts make them
+            break
+        placed = now
+        if not left or placed[1] <= WIDE * placed[2]:
+            break
+        late = np.union1d(late, _long_columns(met))
+    links = _multiplied(docs, *placed, n, percent, id_col, text_col)
+    roots = tk.cut(graph.components(links.where("v is not null").select("u", "v"), "jaccard-links"), "jaccard-roots")
+    degrees = links.where("v is null").groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("n"))
+    least = classes.select("key", "least", "copies")
+    lowest = roots.join(least, roots.node == least.key).groupBy("root").agg(F.min("least").alias("component"))
+    reached = roots.join(lowest, "root").select(F.col("node").alias("key"), "root", "component")
+    n_links = (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")
+    by_key = tk.cut(least.join(reached, "key", "left").join(degrees, "key", "left").select("key", "copies", F.coalesce("root", "key").alias("root"), F.coalesce("component", "least").alias("component"), n_links), "jaccard-classes")
+    found = tk.spread_join(rows.where("key is not null"), by_key, "key", "copies").select("id", "n_grams", "component", "n_links", "text_hash", "root")
+    without = rows.where("key is null").select("id", "n_grams", F.col("id").alias("component"), F.lit(0).cast("long").alias("n_links"), "text_hash", F.lit(None).cast("long").alias("root"))
+    return found.unionByName(without)
+
+
+def _met(docs: DataFrame, n: int, percent: int, text_col: str, order, late: np.ndarray) -> DataFrame:
+    """Overlap counts of bundles in the columns of their prefixes (u, v, n, size) and, with v null, the long columns (u, rows); n-grams in ``late`` (ascending) go behind all others."""
+    last = docs.sparkSession.sparkContext.broadcast(late)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -179,7 +217,10 @@ def _classified(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str
                         continue
                     done.add(key)
                     p = len(s) - -(-percent * len(s) // 100) + shared_at_least(len(s))
-                    rank = order.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                    rank = order.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)
+                    if len(last.value):
+                        at = np.minimum(np.searchsorted(last.value, s), len(last.value) - 1)
+                        rank[last.value[at] == s] += 1 << 16
                     grams.append(s[np.argsort(rank, kind="stable")[:p]])
                     bundles.append(_bundle(s))
                     sizes.append(len(s))
@@ -188,7 +229,7 @@ def _classified(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.repeat(np.array(bundles, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each))], ["gram", "bundle", "size"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Overlap counts of the bundles that meet in a task's columns (u, v, count, smaller size), summed within a batch."""
+        """Overlap counts of the bundles that meet in a task's columns (u, v, count, smaller size), summed within a batch; long columns (gram, null, rows, 0)."""
         rest = tuple(np.zeros(0, np.int64) for _ in range(3))
         long_gram = None
 
@@ -198,11 +239,11 @@ def _classified(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str
             u, v, count, size = u[order], v[order], count[order], size[order]
             first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])[: len(u)])
             if not len(first):
-                return pa.RecordBatch.from_arrays([pa.array(x) for x in (u, v, count, size)], ["u", "v", "n", "size"])
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (u[first], v[first], np.minimum(np.add.reduceat(count, first), SURE), np.minimum.reduceat(size, first))], ["u", "v", "n", "size"])
+                return u, v, count, size
+            return u[first], v[first], np.minimum(np.add.reduceat(count, first), SURE), np.minimum.reduceat(size, first)
 
         def columns(g, k, s, last: bool):
-            """The pairs of whole columns, and the rows of the last column unless it is whole too."""
+            """The pairs of whole columns, those that are long with their rows, and the rows of the last column unless it is whole too."""
             nonlocal long_gram
             new = np.concatenate([[True], (g[1:] != g[:-1]) | (k[1:] != k[:-1]) | (s[1:] != s[:-1])])
             g, k, s = g[new], k[new], s[new]
@@ -217,6 +258,7 @@ def _classified(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str
                     begin, each, longer = begin[:-1], each[:-1], longer[:-1]
             row_longer = np.repeat(longer, each)
             m = len(row_longer)
+            known, rows = g[begin][longer], each[longer]
             # long columns: chains by size
             at = np.flatnonzero(row_longer[: max(0, m - 1)] & (g[: max(0, m - 1)] == g[1:m]))
             at = at[(100 * s[at] >= percent * s[at + 1]) & (k[at] != k[at + 1])]
@@ -238,7 +280,9 @@ def _classified(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str
                         break
                     near = at[100 * high[at] >= percent * low[at + j]]
                     pairs.append((k[near], k[near + j], np.ones(len(near), np.int64), low[near]))
-            return tail, summed(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
+            u, v, count, size = summed(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
+            none = np.zeros(len(known), np.int64)
+            return tail, pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, known])), pa.concat_arrays([pa.array(v), pa.nulls(len(known), pa.int64())]), pa.array(np.concatenate([count, rows])), pa.array(np.concatenate([size, none]))], ["u", "v", "n", "size"])
 
         for batch in batches:
             now = tuple(np.concatenate([x, batch.column(i).to_numpy().astype(np.int64)]) for i, x in enumerate(rest))
@@ -249,13 +293,21 @@ def _classified(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str
             yield columns(*rest, True)[1]
 
     entries = docs.select(F.col(text_col).alias("text")).mapInArrow(prefixes, "gram bigint, bundle bigint, size int")
-    pairs = entries.repartition("gram").sortWithinPartitions("gram", "size", "bundle").mapInArrow(met, "u bigint, v bigint, n bigint, size bigint")
-    pairs = pairs.groupBy("u", "v").agg(F.sum("n").alias("n"), F.min("size").alias("size")).where(F.col("n") >= shared_at_least(F.col("size"))).select("u", "v")
+    return entries.repartition("gram").sortWithinPartitions("gram", "size", "bundle").mapInArrow(met, "u bigint, v bigint, n bigint, size bigint")
+
+
+def _long_columns(met: DataFrame) -> np.ndarray:
+    """N-grams of long columns, ascending: those of most rows, where there are very many."""
+    found = met.where("v is null").groupBy("u").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "u").limit(LATE)
+    return np.sort(found.select("u").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def _placed(met: DataFrame, classes: DataFrame) -> tuple[DataFrame, int, int, bool]:
+    """The sets of all families with the block pairs that want them, how many n-grams these take in all, how many the sets have, and whether the table is small."""
+    pairs = met.where("v is not null").groupBy("u", "v").agg(F.sum("n").alias("n"), F.min("size").alias("size")).where(F.col("n") >= shared_at_least(F.col("size"))).select("u", "v")
     family = tk.cut(graph.components(pairs, "jaccard-families"), "jaccard-family")
 
     # a bundle of several sets is a family, too
-    classes = rows.where("key is not null").groupBy("key").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.max("n_grams").alias("n_grams"), F.min("id").alias("least"), F.count("*").alias("copies"), F.max("bundle").alias("bundle"))
-    classes = tk.cut(classes, "jaccard-sets-once")
     bundles = classes.groupBy("bundle").agg(F.count("*").alias("of"))
     family = tk.cut(bundles.join(family, bundles.bundle == family.node, "left").where("root is not null or of > 1").select("bundle", "of", F.coalesce("root", "bundle").alias("fam")), "jaccard-bundles")
     members = tk.spread_join(classes, family, "bundle", "of")
@@ -274,15 +326,26 @@ def _classified(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str
     above = F.transform(upto(up(1)), lambda j: pair(cls, own, cls + 1, j, F.lit(0)))
     below = F.transform(upto(up(-1)), lambda j: pair(cls - 1, j, cls, own, F.lit(1)))
     where = F.when(F.col("salts").isNull(), F.array(pair(F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(0)))).otherwise(F.concat(within, above, below))
-    placed = tk.cut(placed.select(F.col("id").alias("m_id"), F.col("text_hash").alias("m_hash"), "key", "fam", "copies", where.alias("pairs")), "jaccard-placed")
-    few = (placed.agg(F.sum(48 + 32 * F.size("pairs"))).first()[0] or 0) <= PLACED_BYTES
+    placed = tk.cut(placed.select(F.col("id").alias("m_id"), F.col("text_hash").alias("m_hash"), "key", "fam", "copies", "n_grams", where.alias("pairs")), "jaccard-placed")
+    size = F.size("pairs")
+    sums = placed.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("n_grams") * size, F.col("n_grams"), 48 + 32 * size)]).first()
+    return placed, sums[0], sums[1], sums[2] <= PLACED_BYTES
+
+
+def _multiplied(docs: DataFrame, placed: DataFrame, wanted: int, held: int, few: bool, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The links of all block pairs, see ``edges``: in rounds, none of which shuffles much more than the sets' texts."""
     texts = docs.select(F.col(id_col).cast("long").alias("d_id"), F.xxhash64(text_col).alias("d_hash"), F.col(text_col).alias("text"))
     # a bit set of fixed size, broadcast, keeps most other texts out of the shuffle; it may let some through, never the reverse
     slot = lambda h: F.pmod(h, F.lit(1 << FILTER_BITS))
     marks = placed.groupBy(F.floor(slot(F.col("m_hash")) / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(m_hash, 64) as int))")).alias("mask"))
     texts = texts.withColumn("word", F.floor(slot(F.col("d_hash")) / 64)).join(F.broadcast(marks), "word").where(F.col("mask").bitwiseAND(F.expr("shiftleft(1L, cast(pmod(d_hash, 64) as int))")) != 0).drop("word", "mask")
-    found = texts.join(F.broadcast(placed) if few else placed, F.col("d_id").eqNullSafe(F.col("m_id")) & (F.col("d_hash") == F.col("m_hash"))).select("key", "fam", "copies", F.explode("pairs").alias("p"), "text")
-    flat = found.select(F.xxhash64("fam", "p.a", "p.i", "p.b", "p.j").alias("pair"), (F.struct("p.a", "p.i") == F.struct("p.b", "p.j")).alias("self"), "p.side", "key", "copies", "text")
+    number = lambda p: F.xxhash64("fam", p.a, p.i, p.b, p.j)
+    rounds = max(1, -(-wanted // max(ROUND_GRAMS, WIDE * held)))
+
+    def flat(r: int) -> DataFrame:
+        part = placed if rounds == 1 else placed.withColumn("pairs", F.filter("pairs", lambda p: F.pmod(number(p), F.lit(rounds)) == r)).where(F.size("pairs") > 0)
+        found = texts.join(F.broadcast(part) if few else part, F.col("d_id").eqNullSafe(F.col("m_id")) & (F.col("d_hash") == F.col("m_hash"))).select("key", "fam", "copies", F.explode("pairs").alias("p"), "text")
+        return found.select(F.xxhash64("fam", "p.a", "p.i", "p.b", "p.j").alias("pair"), (F.struct("p.a", "p.i") == F.struct("p.b", "p.j")).alias("self"), "p.side", "key", "copies", "text")
 
     def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def edges(keys, copies, sides, sets, alone):
@@ -323,17 +386,11 @@ def _classified(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str
         if len(keys) > 1 and (out := edges(keys, copies, sides, sets, alone)) is not None:
             yield out
 
-    links = tk.cut(flat.repartition("pair").sortWithinPartitions("pair").mapInArrow(multiplied, "u bigint, v bigint, n bigint"), "jaccard-edges")
-    roots = tk.cut(graph.components(links.where("v is not null").select("u", "v"), "jaccard-links"), "jaccard-roots")
-    degrees = links.where("v is null").groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("n"))
-    least = classes.select("key", "least", "copies")
-    lowest = roots.join(least, roots.node == least.key).groupBy("root").agg(F.min("least").alias("component"))
-    reached = roots.join(lowest, "root").select(F.col("node").alias("key"), "root", "component")
-    n_links = (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")
-    by_key = tk.cut(least.join(reached, "key", "left").join(degrees, "key", "left").select("key", "copies", F.coalesce("root", "key").alias("root"), F.coalesce("component", "least").alias("component"), n_links), "jaccard-classes")
-    found = tk.spread_join(rows.where("key is not null"), by_key, "key", "copies").select("id", "n_grams", "component", "n_links", "text_hash", "root")
-    without = rows.where("key is null").select("id", "n_grams", F.col("id").alias("component"), F.lit(0).cast("long").alias("n_links"), "text_hash", F.lit(None).cast("long").alias("root"))
-    return found.unionByName(without)
+    links = None
+    for r in range(rounds):
+        now = tk.cut(flat(r).repartition("pair").sortWithinPartitions("pair").mapInArrow(multiplied, "u bigint, v bigint, n bigint"), "jaccard-edges")
+        links = now if links is None else links.unionByName(now)
+    return links
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

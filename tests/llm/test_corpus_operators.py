@@ -53,6 +53,34 @@ def test_jaccard_join(spark, monkeypatch, small):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c, _ in got.values()})
 
 
+def test_jaccard_of_common_passages(spark, monkeypatch):
+    """Texts that share passages only, in columns that the sketch cannot tell from rare ones, do not all meet in products; rounds of products find all links."""
+    for name, value in (("BLOCK_DOCS", 8), ("SHORT", 2), ("SKETCH_BITS", 2), ("SKETCH_PART", 4), ("ROUND_GRAMS", 100), ("TRIES", 5), ("WIDE", 1)):
+        monkeypatch.setattr(jaccard, name, value, raising=False)
+    placed, edges, cut = [], [], tk.cut
+
+    def seen(df, purpose):
+        out = cut(df, purpose)
+        if purpose == "jaccard-placed":
+            placed.append(out.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("pairs")), F.lit(0)).alias("wanted")).first())
+        edges.extend([purpose] if purpose == "jaccard-edges" else [])
+        return out
+
+    monkeypatch.setattr(tk, "cut", seen)
+    random.seed(6)
+    passages = [" ".join(f"p{i}-{j}" for j in range(9)) for i in range(2)]
+    texts = [" ".join([*(f"w{random.randrange(10**6)}" for _ in range(26)), passages[i % 2]]) for i in range(120)]
+    texts += [t + " tail" for t in texts[:3]]
+    got = {r.id: (r.n_grams, r.component, r.n_links) for r in jaccard.join(frame(spark, texts)).collect()}
+    assert got == jaccard.brute(dict(enumerate(texts)))
+    assert placed[-1].wanted <= 2 * len(texts)
+    family = [" ".join([*(f"f{j}" for j in range(60)), f"x{i}"]) for i in range(40)]  # all link
+    edges.clear()
+    got = {r.id: (r.n_grams, r.component, r.n_links) for r in jaccard.join(frame(spark, family)).collect()}
+    assert got == jaccard.brute(dict(enumerate(family)))
+    assert placed[-1].wanted > 3 * placed[-1].n and len(edges) > 2
+
+
 def test_jaccard_odd_ids(spark):
     texts = ["one two three four five six"] * 3 + ["seven eight"] + [None, "seven eight"]
     docs = frame(spark, texts, [5, 5, None, None, 9, 3])
