@@ -10,14 +10,18 @@ A batch builds, embeds and tokenises its own books, and writes only these (see
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions import vectors as V
 from quern.operators import store, tree
-from quern.operators.bm25 import EPSILON, gain, raw_idf
+from quern.operators.bm25 import EPSILON, NOTHING, PRODUCT, Kept, Weights, blocks, gain, gains, in_places, raw_idf
 from quern.operators.rank import INDEXED, PLACES, HybridIndex, hybrid, index_text, top_k
 from quern.operators.segments import BUCKETS, MOST_SEGMENTS, Segments, bucket
 from quern.plans.tables import drop, few, folders, kept, scratch, written
@@ -30,6 +34,7 @@ TABLES = {
 }
 SUMS = ("nodes", "indexable", "length")
 SEEDS = 4  # postings for each of the k best that give a query's first bound
+AT_ONCE = 1 << 16  # postings that a task scores together
 PUSHED_TERMS = 1000  # up to so many query terms reach the scan of the postings
 
 
@@ -70,15 +75,16 @@ class BookIndex(HybridIndex):
             made = kept(written(tree.build(pages.drop("title"), books, images, **self.cut), "batch-nodes"))
         wanted = F.col("level").isin(INDEXED)
         with scratch(self.spark):
-            nodes = tree.with_context(made)
-            nodes = kept(written(nodes.withColumn("vector", F.when(wanted, self.embed(F.when(wanted, index_text())))), "batch-vectors"))
+            nodes = kept(written(tree.with_context(made), "batch-contexts"))
         drop(self.spark, folders(made))
         postings = written(self._postings(nodes), "batch-postings")
         n_nodes = nodes.groupBy("book_id").agg(F.count("*").alias("nodes"), F.count_if(wanted).alias("indexable"))
         length = postings.groupBy("book_id").agg(F.sum("tf").alias("length"))
-        named = books.select("book_id").distinct().join(n_nodes, "book_id", "left").join(length, "book_id", "left").fillna(0, [*SUMS])
+        named = written(books.select("book_id").distinct().join(n_nodes, "book_id", "left").join(length, "book_id", "left").fillna(0, [*SUMS]), "batch-sums")
         added = lambda: self._frequencies(postings, 1).unionByName(self._frequencies(self.tables.before("postings", books), -1))
-        version = self._change(named, {"pages": pages, "nodes": nodes, "postings": postings, "terms": lambda: self._change_of_terms(added())}, about=about)
+        # vectors are made as the dealt nodes are written: they are stored once and never shuffled
+        vector = {"nodes": {"vector": F.when(wanted, self.embed(F.when(wanted, index_text())))}}
+        version = self._change(named, {"pages": pages, "nodes": nodes, "postings": postings, "terms": lambda: self._change_of_terms(added())}, about=about, late=vector, spent=(pages, nodes))
         batch = named.agg(F.count("*").alias("books"), F.sum("nodes").alias("nodes")).first()
         return {"version": version, "books": batch.books, "book_nodes": batch.nodes or 0, "total_nodes": self.tables.totals["nodes"], "indexable_nodes": self.tables.totals["indexable"]}
 
@@ -94,8 +100,8 @@ class BookIndex(HybridIndex):
         self._sparse = None
         return done
 
-    def _change(self, named: DataFrame, make: dict, gone: DataFrame | None = None, about: dict | None = None) -> str:
-        version = self.tables.replace(named, make, gone, about)
+    def _change(self, named: DataFrame, make: dict, gone: DataFrame | None = None, about: dict | None = None, late: dict | None = None, spent: tuple[DataFrame, ...] = ()) -> str:
+        version = self.tables.replace(named, make, gone, about, late, spent)
         self._sparse, self._mean = None, None
         if self.tables.crowded():
             self.compact()
@@ -106,7 +112,8 @@ class BookIndex(HybridIndex):
         return [c.strip().split(" ")[0] for c in TABLES[table].split(", ")]
 
     def _postings(self, nodes: DataFrame) -> DataFrame:
-        words = nodes.where(F.col("level").isin(INDEXED)).select("node_id", "book_id", T.tokens(index_text()).alias("tokens"))
+        # nodes are dealt before their tokens are rows: an aggregation of tokens then shuffles nothing, and a node's postings stay together
+        words = nodes.where(F.col("level").isin(INDEXED)).select("node_id", "book_id", T.tokens(index_text()).alias("tokens")).repartition("node_id")
         each = words.select("node_id", "book_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
         return each.groupBy("term", "node_id", "book_id", "dl").agg(F.count("*").cast("int").alias("tf"))
 
@@ -170,21 +177,35 @@ class BookIndex(HybridIndex):
         return scored.join(few(wanted.drop("df")), "term").groupBy("query_id", "node_id").agg(F.sum(F.col("gain") * F.col("weight")).alias("sparse_raw"))
 
     def sparse_top_k(self, queries: DataFrame, k: int = 10) -> DataFrame:
-        """(query_id, node_id, score, rank): the k best nodes by BM25 alone, without scoring those that cannot be among them.
+        """(query_id, node_id, score, rank): the k best nodes by BM25 alone; ties by node_id.
+
+        Queries go out in blocks.  The postings of a block's terms are dealt by
+        node; a task scores its nodes for all queries of the block, some at a
+        time, and keeps k rows for each query.  So no pair of a query and a node
+        is written or shuffled, and rows are those of all scores, ranked.
+        """
+        wanted, found, mean = self._wanted(queries)
+        rows = found.select("node_id", "term", F.col("tf").cast("double").alias("tf"), F.col("dl").cast("double").alias("dl"))
+        n = blocks(wanted.select("query_id").distinct().count(), wanted.count())
+        out = None
+        for b in range(n):
+            block = wanted if n == 1 else written(wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b), "block")
+            dealt = rows if n == 1 else rows.join(few(block.select("term").distinct()), "term", "left_semi").select(*rows.columns)
+            best = written(_best(dealt, Weights.of(block), mean, k, queries.schema["query_id"].dataType.simpleString()), "best")
+            out = best if out is None else out.unionByName(best)
+        w = Window.partitionBy("query_id").orderBy(F.desc("key"), "node_id")
+        return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "node_id", "score", "rank")
+
+    def _candidates(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+        """Complete scores of the nodes that can be among the k best, as pairs, and each query's bound.
 
         A query's rare terms give a first score that its k-th best node reaches
         at least.  In each bucket the terms whose highest possible gains do not
         add up to it are left aside: nodes that have only these are never paired
         with the query, and of the others only those are completed that can still
-        reach it.  So the postings of common terms meet few candidates.  Rows are
-        those of all scores, ranked; ties by node_id.  Queries with a negative
-        weight (only in corpora where most terms are in most nodes) are not pruned.
+        reach it.  Queries with a negative weight (only in corpora where most
+        terms are in most nodes) are not pruned.
         """
-        pairs, _ = self._candidates(queries, k)
-        return top_k(pairs, k, tie="node_id").select("query_id", "node_id", "score", "rank")
-
-    def _candidates(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-        """Complete scores of the nodes that can be among the k best, and each query's bound."""
         wanted, found, mean = self._wanted(queries)
         postings = written(found.select("term", "node_id", "bucket", "tf", "dl"), "asked-postings")
         gains = postings.select("term", "node_id", "bucket", _gain("tf", "dl", mean).alias("gain"))
@@ -216,3 +237,44 @@ class BookIndex(HybridIndex):
 
 def _gain(tf: str, dl: str, mean: float):
     return gain(F.col(tf).cast("double"), F.col(dl).cast("double"), mean)
+
+
+def _best(postings: DataFrame, weights: Weights, mean: float, k: int, kind: str) -> DataFrame:
+    """(query_id, node_id, score, key) of each task's k best nodes for each query; postings: (node_id, term, tf, dl)."""
+    shared = postings.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shared.value
+        kept = Kept(len(weights.names), k)
+        at_once = max(1, PRODUCT // max(1, len(weights.names)))
+
+        def add(rows: pa.Table, last: bool) -> pa.Table:
+            """Scores the nodes whose rows are all there; gives back the others."""
+            node = rows.column(0).combine_chunks()
+            new = np.concatenate([[True], pc.not_equal(node.slice(1), node.slice(0, len(node) - 1)).to_numpy(zero_copy_only=False)])
+            begin = np.flatnonzero(new)
+            begin, end = (begin, len(node)) if last else (begin[:-1], begin[-1])
+            of = np.cumsum(new[:end]) - 1
+            term = pc.index_in(rows.column(1).combine_chunks().slice(0, end), weights.terms).to_numpy(zero_copy_only=False).astype(np.int64)
+            got = gains(*(rows.column(i).to_numpy()[:end] for i in (2, 3)), mean)
+            for lo in range(0, len(begin), at_once):
+                n = min(at_once, len(begin) - lo)
+                i, j = np.searchsorted(of, [lo, lo + n])
+                score, hit = weights.summed(n, of[i:j] - lo, term[i:j], got[i:j])
+                names = node.take(pa.array(begin[lo : lo + n])).to_numpy(zero_copy_only=False)
+                kept.add(np.where(hit, in_places(score), NOTHING), [names], [score])
+            return rows.slice(end)
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= AT_ONCE:
+                rest = add(pa.Table.from_batches(held), False)
+                held, size = rest.to_batches(), rest.num_rows
+        if size:
+            add(pa.Table.from_batches(held), True)
+        if len(kept):
+            yield pa.RecordBatch.from_arrays([weights.names.take(pa.array(kept.q)), pa.array(kept.ties[0], pa.string()), pa.array(kept.values[0]), pa.array(kept.key)], ["query_id", "node_id", "score", "key"])
+
+    return postings.repartition("node_id").sortWithinPartitions("node_id").mapInArrow(run, f"query_id {kind}, node_id string, score double, key bigint")

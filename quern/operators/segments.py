@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import store
-from quern.plans.tables import few, shuffles_freed, written
+from quern.plans.tables import drop, few, folders, shuffles_freed, written
 
 BUCKETS = 64
 MOST_SEGMENTS = 8
@@ -93,11 +93,13 @@ class Segments:
         """The buckets of some books: at most as many as there are buckets."""
         return {r[0] for r in books.select(bucket(F.col("book_id"), self.buckets)).distinct().collect()}
 
-    def replace(self, books: DataFrame, make: dict[str, Callable[[], DataFrame] | DataFrame], gone: DataFrame | None = None, about: dict | None = None) -> str:
+    def replace(self, books: DataFrame, make: dict[str, Callable[[], DataFrame] | DataFrame], gone: DataFrame | None = None, about: dict | None = None, late: dict[str, dict[str, Column]] | None = None, spent: tuple[DataFrame, ...] = ()) -> str:
         """A new version in which the rows of ``make`` (table -> rows, or a function that is called when the tables before it are written) are all that counts of ``books`` (book_id and the sums), and nothing is left of those in ``gone`` (book_id).
 
         A delta table's function gives what the new books add, (key, bucket, change); what the old ones had added is
-        taken off by the same function over their old rows, see ``before``.
+        taken off by the same function over their old rows, see ``before``.  ``late`` has columns (table -> name ->
+        column) that are made of the others as rows are written.  Written tables in ``spent`` that ``make`` names are
+        deleted as soon as their rows are in the segment: nothing else may need them then.
         """
         zero = [F.lit(0).cast("long").alias(c) for c in self.sums]
         named = books.select("book_id", F.lit(False).alias("removed"), *self.sums)
@@ -111,7 +113,9 @@ class Segments:
         version = self._name()
         self._write(version, "books", named)
         for table, rows in make.items():
-            self._write(version, table, rows() if callable(rows) else rows)
+            self._write(version, table, rows() if callable(rows) else rows, (late or {}).get(table))
+            if any(rows is x for x in spent):
+                drop(self.spark, folders(rows))
         segment = {"name": version, "seq": self.manifest["next"], "tables": {t: self._written(version, t) for t in ["books", *make]}, "active": sorted(touched)}
         new = self.manifest | {"segments": [*self.manifest["segments"], segment], "next": self.manifest["next"] + 1, "masked": self.manifest["masked"] + before.n, "about": self.manifest["about"] | (about or {})}
         new["totals"] = {c: self.totals[c] - before[c] + after[c] for c in self.sums}
@@ -155,14 +159,15 @@ class Segments:
     def _name(self) -> str:
         return f"v{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
 
-    def _write(self, version: str, table: str, rows: DataFrame) -> None:
-        """A folder for each bucket; a bucket of very many rows is split over tasks, and rows are in the order of their first column."""
+    def _write(self, version: str, table: str, rows: DataFrame, late: dict[str, Column] | None = None) -> None:
+        """A folder for each bucket; a bucket of very many rows is split over tasks, and rows are in the order of their first column.  Columns in ``late`` are made after rows are dealt."""
         columns = [c.strip().split(" ")[0] for c in self.tables[table].split(", ")]
         if "bucket" not in rows.columns:
             rows = rows.withColumn("bucket", bucket(F.col("book_id"), self.buckets))
-        dealt = rows.select(*columns, "bucket").hint("rebalance", "bucket").sortWithinPartitions("bucket", columns[0])
+        dealt = rows.select(*[c for c in columns if c not in (late or {})], "bucket").hint("rebalance", "bucket").sortWithinPartitions("bucket", columns[0])
+        dealt = dealt.withColumns(late or {}).select(*columns, "bucket")
         with shuffles_freed(self.spark):
-            dealt.write.partitionBy("bucket").parquet(f"{self.root}/{version}/{table}")
+            dealt.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/{version}/{table}")
 
     def _written(self, version: str, table: str) -> list[int]:
         names = store.names(self.spark, f"{self.root}/{version}/{table}")
